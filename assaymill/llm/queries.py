@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assaymill.functions.ids import sql_strict_id
-from assaymill.llm import components, overlap, splits
+from assaymill.llm import components, neighbours, overlap, splits
 from assaymill.session import settle, table
 
 SEGMENTS = {"cell": "cell_id", "compound": "compound_id", "parent": "normalized_parent_id"}
@@ -52,7 +52,29 @@ def p6_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for kind in neighbours.KINDS:
+        near = neighbours.neighbour_lists(table(spark, sf_dir, "prepared_data"), kind)
+        part = near.select(F.lit(kind).alias("feature"), F.least("vec_id", "other").alias("vec_id_a"), F.greatest("vec_id", "other").alias("vec_id_b")).distinct()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the lists of ids divisible by 50 against brute force over all rows."""
+    out = None
+    for kind in neighbours.KINDS:
+        rows = table(spark, sf_dir, "prepared_data")
+        truth = neighbours.exact_lists(rows, kind)
+        got = neighbours.neighbour_lists(rows, kind).filter(F.col("vec_id") % 50 == 0).select("vec_id", "other", F.lit(1).alias("hit"))
+        part = truth.join(got, ["vec_id", "other"], "left").agg(F.lit(kind).alias("feature"), F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("recall", F.try_divide("n_found", "n_true"))
+
+
 QUERIES = {
+    "p3_found": p3_found, "p3_recall": p3_recall,
     "p4_found": p4_found, "p4_overlap_report": p4_overlap_report,
     "p5_splits": p5_splits, "p5_shares": p5_shares,
     "p6_found": p6_found, "p6_membership": p6_membership,
