@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assaymill.functions.ids import sql_strict_id
-from assaymill.llm import components, neighbours, overlap, splits
+from assaymill.llm import components, leakage, mixing, neighbours, overlap, splits
 from assaymill.session import settle, table
 
 SEGMENTS = {"cell": "cell_id", "compound": "compound_id", "parent": "normalized_parent_id"}
@@ -73,11 +73,36 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("recall", F.try_divide("n_found", "n_true"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with the number of documents it leaked into and the largest share of it found in one."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "item_set").distinct()
+    hits = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("covered").alias("most_covered"))
+    return items.join(hits, "item_id", "left").na.fill({"n_docs": 0, "most_covered": 0.0})
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(settle(p8_mix(spark, sf_dir)), table(spark, sf_dir, "source_weights"))
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_recall": p3_recall,
     "p4_found": p4_found, "p4_overlap_report": p4_overlap_report,
     "p5_splits": p5_splits, "p5_shares": p5_shares,
     "p6_found": p6_found, "p6_membership": p6_membership,
+    "p7_found": p7_found, "p7_leaked_items": p7_leaked_items,
+    "p8_mix": p8_mix, "p8_shares": p8_shares,
 }
 
 _ID = {k: sql_strict_id(k) for k in ("cell_id", "compound_id", "normalized_parent_id", "scaffold_id")}
