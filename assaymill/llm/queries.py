@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assaymill.functions.ids import sql_strict_id
-from assaymill.llm import components, leakage, mixing, neighbours, overlap, splits
+from assaymill.llm import components, leakage, matching, mixing, neighbours, overlap, splits
 from assaymill.session import settle, table
 
 SEGMENTS = {"cell": "cell_id", "compound": "compound_id", "parent": "normalized_parent_id"}
@@ -52,6 +52,18 @@ def p6_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match(table(spark, sf_dir, "cell_master"), table(spark, sf_dir, "passport_models"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select("sanger_model_id", "model_id")
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for kind in neighbours.KINDS:
@@ -97,6 +109,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_matches": p2_matches,
     "p3_found": p3_found, "p3_recall": p3_recall,
     "p4_found": p4_found, "p4_overlap_report": p4_overlap_report,
     "p5_splits": p5_splits, "p5_shares": p5_shares,
