@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assaymill.functions.ids import sql_strict_id
-from assaymill.llm import components, leakage, matching, mixing, neighbours, overlap, splits
+from assaymill.llm import components, leakage, matching, mixing, neighbours, overlap, splits, subjects
 from assaymill.session import settle, table
 
 SEGMENTS = {"cell": "cell_id", "compound": "compound_id", "parent": "normalized_parent_id"}
@@ -108,6 +108,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(settle(p8_mix(spark, sf_dir)), table(spark, sf_dir, "source_weights"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Make-up of the corpus: documents that accept a subject, and its weight when each document counts once."""
+    s = settle(_subjects(spark, sf_dir))
+    weight = s.groupBy("doc_id").agg(F.sum("share").alias("of"))
+    return s.join(weight, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("share") / F.col("of")).alias("weight"))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_matches": p2_matches,
     "p3_found": p3_found, "p3_recall": p3_recall,
@@ -116,6 +131,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_membership": p6_membership,
     "p7_found": p7_found, "p7_leaked_items": p7_leaked_items,
     "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_composition": p9_composition,
 }
 
 _ID = {k: sql_strict_id(k) for k in ("cell_id", "compound_id", "normalized_parent_id", "scaffold_id")}
