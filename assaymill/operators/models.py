@@ -21,7 +21,7 @@ def mean_baseline(train: DataFrame, query: DataFrame, key: str | None) -> DataFr
     return query.join(m, key, "left").crossJoin(g).withColumn("y_pred", F.coalesce("_m", "_g")).drop("_m", "_g")
 
 
-def two_way_additive(train: DataFrame, query: DataFrame, a: str, b: str, alpha: float = 0.01, rounds: int = 30, tol: float = 1e-9) -> DataFrame:
+def two_way_additive(train: DataFrame, query: DataFrame, a: str, b: str, alpha: float = 0.01, rounds: int = 10, tol: float = 1e-6) -> DataFrame:
     """query with y_pred = mu + effect(a) + effect(b), a ridge fit by alternating closed-form updates; unseen entities have no effect.
 
     Each update is one aggregation over the rows; entity effects are small tables.
