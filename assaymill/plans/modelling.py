@@ -88,7 +88,7 @@ def j15_set_overlap(spark: S, sf: str) -> DataFrame:
 def f10_nearest_fingerprint(spark: S, sf: str) -> DataFrame:
     """Nearest other vector by the signs of the embeddings."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("bits"))
-    return E.nearest_other(E.set_bits(e, "vec_id", "bits"), "vec_id").select("vec_id", "nearest", *R6("tanimoto"))
+    return E.nearest_other(e, "vec_id", "bits").select("vec_id", "nearest", *R6("tanimoto"))
 
 
 def x20_projection(spark: S, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -37,20 +38,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share.
+    """This application's folder below the one of ``spark.checkpoint.dir``, which all executors share; removed when the driver ends.
 
-    Only where that setting is absent *and* the session is local is a folder made here; on a cluster a
-    machine-local folder would be unreadable to other executors, so its absence is an error.
+    Only where that setting is absent *and* the session is local is a folder made elsewhere; on a cluster a machine-local
+    folder would be unreadable to other executors, so its absence is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="assaymill-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="assaymill-")
+        _OWN[app] = f"{root.rstrip('/')}/assaymill-{app}"
+        atexit.register(_remove, spark, _OWN[app])
+    return _OWN[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -59,7 +73,7 @@ def settle(df: DataFrame) -> DataFrame:
     Unlike ``checkpoint()`` the plan runs once and the copy stays columnar, so later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path  # for discard()

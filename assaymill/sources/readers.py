@@ -87,10 +87,26 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, name, length, sha256) of all files below a folder; contents are hashed where they are read.
 
-    The binary source holds a file in one row; files near 2 GB and above belong to ``inventory_chunked``.
+    The binary source holds a file in one row; files near 2 GB and above belong to ``inventory_chunked``. Empty files, which file scans
+    leave out, come from the listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    full = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return full.unionByName(empty_files(spark, root, pattern)).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+
+
+def empty_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length, sha256) of the files without content."""
+    import fnmatch
+    import hashlib
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, it = [], p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        if f.getLen() == 0 and fnmatch.fnmatch(f.getPath().getName(), pattern):
+            found.append((f.getPath().toString(), 0, hashlib.sha256(b"").hexdigest()))
+    return spark.createDataFrame(found, "path string, length bigint, sha256 string")
 
 
 def inventory_chunked(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -110,7 +126,7 @@ def inventory_chunked(spark: SparkSession, root: str, pattern: str = "*") -> Dat
                 sums.append(h.hexdigest())
             yield b.assign(sha256=sums)
 
-    return files.mapInPandas(run, "path string, length bigint, sha256 string").withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    return files.mapInPandas(run, "path string, length bigint, sha256 string").unionByName(empty_files(spark, root, pattern)).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
 
 
 def workbook(spark: SparkSession, path: str) -> DataFrame:
