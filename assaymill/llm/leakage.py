@@ -62,12 +62,11 @@ def _token_hash(t: str) -> int:
     return xxhash.xxh64_intdigest(t)
 
 
-def window_hashes(tokens: list[str]) -> np.ndarray:
-    """Signed 64-bit hashes of all windows; one window for a shorter text; none for an empty one."""
-    if not tokens:
+def window_hashes(tokens: list[str], w: int = WINDOW) -> np.ndarray:
+    """Signed 64-bit hashes of all windows of ``w`` tokens; none for a shorter text."""
+    if len(tokens) < w or not tokens:
         return np.zeros(0, np.int64)
     h = np.fromiter((_token_hash(t) for t in tokens), np.uint64, len(tokens))
-    w = min(WINDOW, len(tokens))
     out = np.full(len(h) - w + 1, w, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(w):
@@ -82,14 +81,17 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, hs, ps, ns = [], [], [], []
+        ids, hs, ps, ns, ws = [], [], [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            h = window_hashes(canonical(t)[0])
+            tokens = canonical(t)[0]
+            w = min(WINDOW, len(tokens))
+            h = window_hashes(tokens, w)
+            ws += [w] * len(h)
             ids += [i] * len(h)
             hs.append(h)
             ps += range(len(h))
             ns += [len(h)] * len(h)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(ps, pa.int32()), pa.array(ns, pa.int32())], ["item_id", "h", "ipos", "n_windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(ps, pa.int32()), pa.array(ns, pa.int32()), pa.array(ws, pa.int32())], ["item_id", "h", "ipos", "n_windows", "w"])
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -108,19 +110,24 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
-def _doc_hits(bits: np.ndarray):
+def _doc_hits(bits, lengths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(bits.value).view(bool)
         for b in batches:
             ids, texts, hits, at = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = window_hashes(canonical(t)[0])
-                p = np.flatnonzero(known[_slot(h)]) if len(h) else h
-                if len(p):
+                tokens = canonical(t)[0]
+                own, place = [], []
+                for w in lengths:
+                    h = window_hashes(tokens, w)
+                    p = np.flatnonzero(known[_slot(h)]) if len(h) else h
+                    own.append(h[p])
+                    place.append(p.astype(np.int32))
+                if any(len(p) for p in place):
                     ids.append(i)
                     texts.append(t)
-                    hits.append(h[p])
-                    at.append(p.astype(np.int32))
+                    hits.append(np.concatenate(own))
+                    at.append(np.concatenate(place))
             cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in hits])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x) if x else np.zeros(0, d), k)) for x, d, k in ((hits, np.int64, pa.int64()), (at, np.int32, pa.int32()))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), *lists], ["doc_id", "text", "hs", "ps"])
@@ -232,10 +239,11 @@ def scored_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, covered, reproduced) for every candidate pair."""
     spark = docs.sparkSession
     told = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item_text")).filter("item_id IS NOT NULL AND item_text IS NOT NULL").distinct()
-    windows = settle(told.mapInArrow(_item_windows, "item_id string, h bigint, ipos int, n_windows int"))
+    windows = settle(told.mapInArrow(_item_windows, "item_id string, h bigint, ipos int, n_windows int, w int"))
     bits = spark.sparkContext.broadcast(_bitmap(windows))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    hit = settle(texts.mapInArrow(_doc_hits(bits), "doc_id bigint, text string, hs array<bigint>, ps array<int>"))
+    lengths = sorted(r["w"] for r in windows.select("w").distinct().collect())  # at most WINDOW values
+    hit = settle(texts.mapInArrow(_doc_hits(bits, lengths), "doc_id bigint, text string, hs array<bigint>, ps array<int>"))
     places = hit.select("doc_id", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("doc_id", F.col("x.hs").alias("h"), F.col("x.ps").alias("dpos"))
     met = places.join(windows, "h").groupBy("doc_id", "item_id").agg(
         F.countDistinct("ipos").alias("n"), F.first("n_windows").alias("of"), F.collect_set("dpos").alias("at")

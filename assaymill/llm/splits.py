@@ -57,8 +57,7 @@ def choose_counts(sizes: dict[int, int], target: float) -> dict[int, int]:
     rest = target - sum(s * c for s, c in taken.items())
     left = {s: c - taken[s] for s, c in sizes.items() if c > taken[s]}
     if left and rest > 0:
-        # beyond rest + the smallest size left no total can be nearer than one below it
-        limit = int(rest) + min(left) + 1
+        limit = int(2 * rest) + 1  # a larger total is farther away than none at all
         mask = (1 << (limit + 1)) - 1
         items: list[tuple[int, int]] = []
         for s in sorted(left, reverse=True):
