@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from assaymill.functions.scalars import finite
+from assaymill.operators.blocks import blocks
 from assaymill.operators.ranks import top_k
 
 
@@ -119,14 +121,28 @@ def nearest_other(vectors: DataFrame, entity: str, bits: str, block: int = 2048)
 
 
 def neighbour_mean(train: DataFrame, query: DataFrame, group: str, vec: str, k: int) -> DataFrame:
-    """(sample_id, prediction): mean label of the k nearest training rows of the same group (Euclidean), ties to the smaller sample id.
+    """(sample_id, prediction): mean label of the k nearest training rows of the same group (Euclidean, rounded to 9 decimals), ties to the smaller sample id.
 
-    ``train``: sample_id, group, y, vec; ``query``: sample_id, group, vec. Groups are evaluation groups; fewer than k rows use them all.
+    ``train``: sample_id, group, y, vec; ``query``: sample_id, group, vec. Fewer than k rows are all used. Blocks of a group's queries meet blocks of its
+    training rows and keep k candidates each, so a hot group is spread over tasks and no pair of rows is emitted.
     """
-    t = train.select(group, F.col("sample_id").alias("_t"), F.col("y").alias("_y"), F.col(vec).alias("_tv"))
-    d2 = F.aggregate(F.zip_with(vec, "_tv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = top_k(query.join(t, group).select("sample_id", "_t", "_y", F.round(d2, 9).alias("_d")), ["sample_id"], k, F.col("_d"), F.col("_t"))
-    return near.groupBy("sample_id").agg(F.avg("_y").alias("prediction"))
+    t = blocks(train.withColumn("v", F.col(vec)), [group], ["sample_id"], ["sample_id", "y", "v"])
+    q = blocks(query.withColumn("v", F.col(vec)), [group], ["sample_id"], ["sample_id", "v"])
+    met = q.select(group, F.col("sample_id").alias("qid"), F.col("v").alias("qv")).join(t.select(group, "sample_id", "y", "v"), group).drop(group)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = []
+            for qid, qv, ids, y, v in zip(*(d[c] for c in ("qid", "qv", "sample_id", "y", "v"))):
+                order = np.argsort(np.array(ids, object), kind="stable")
+                ids, y, a, b = ids[order], y[order], np.stack(qv), np.stack(v)[order]
+                d2 = np.round(sum((a[:, None, j] - b[None, :, j]) ** 2 for j in range(a.shape[1])), 9)
+                best = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                out += [(qid[i], ids[j], y[j], d2[i, j]) for i in range(len(a)) for j in best[i]]
+            yield pd.DataFrame(out, columns=["sample_id", "other", "y", "d"])
+
+    found = met.mapInPandas(near, "sample_id string, other string, y double, d double")
+    return top_k(found, ["sample_id"], k, F.col("d"), F.col("other")).groupBy("sample_id").agg(F.avg("y").alias("prediction"))
 
 
 def pair_features(samples: DataFrame, cells: DataFrame, drugs: DataFrame) -> DataFrame:

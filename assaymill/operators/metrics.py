@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from assaymill.functions.scalars import finite
+from assaymill.operators.blocks import blocks
 from assaymill.operators.ranks import average_rank, guarded_corr
 from assaymill.operators.relational import duplicates
 from assaymill.session import settle
@@ -23,14 +27,26 @@ def violations(pred: DataFrame) -> DataFrame:
 def pair_accuracy(pred: DataFrame, by: list[str]) -> DataFrame:
     """(by, pair_accuracy): share of pairs with different truth whose predictions stand in the same order; a predicted tie is wrong.
 
-    Rows are reduced to one per (truth, prediction) level with a count, and pairs are counted between levels of a group, so that
-    repeated values do not multiply. Groups are evaluation groups (one compound's samples), not open-ended keys.
+    Rows are reduced to one per (truth, prediction) level with a count; levels are cut into blocks, and pairs of blocks are counted in arrays, so
+    that no pair of rows is ever a row.
     """
     lv = pred.groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    b = lv.select(*by, F.col("y_true").alias("t2"), F.col("y_pred").alias("p2"), F.col("n").alias("n2"))
-    met = lv.join(b, by).filter("y_true < t2")
-    w = F.col("n") * F.col("n2")
-    return met.groupBy(*by).agg((F.sum(F.when(F.col("y_pred") < F.col("p2"), w).otherwise(0)) / F.sum(w)).alias("pair_accuracy"))
+    b = blocks(lv, by, ["y_true", "y_pred"], ["y_true", "y_pred", "n"])
+    met = b.join(b.select(*by, F.col("block").alias("other"), F.col("y_true").alias("u"), F.col("y_pred").alias("q"), F.col("n").alias("m")), by).filter("block <= other")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in b.select(*by).schema)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            right, total = [], []
+            for t, p, n, u, q, m, i, j in zip(*(d[c] for c in ("y_true", "y_pred", "n", "u", "q", "m", "block", "other"))):
+                truth = np.sign(t[:, None] - u[None, :])
+                w = np.where(truth != 0, n[:, None] * m[None, :], 0.0) / (2 if i == j else 1)
+                right.append(float((w * (np.sign(p[:, None] - q[None, :]) == truth)).sum()))
+                total.append(float(w.sum()))
+            yield d[by].assign(right=right, total=total)
+
+    got = met.mapInPandas(count, f"{kinds}, right double, total double").groupBy(*by).agg(F.sum("right").alias("r"), F.sum("total").alias("t"))
+    return got.filter("t > 0").select(*by, (F.col("r") / F.col("t")).alias("pair_accuracy"))
 
 
 def per_group(pred: DataFrame, by: list[str], min_cells: int = 10) -> DataFrame:

@@ -126,3 +126,15 @@ def markdown(title: str, rows: list[dict], columns: list[str]) -> str:
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     lines = [f"## {title}", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join(lines + ["| " + " | ".join(show(r.get(c)) for c in columns) + " |" for r in rows]) + "\n"
+
+
+def preflight(upstream: dict, expected: dict, keys: tuple[str, ...] = ("data_hash", "split_hash", "code_hash")) -> list[str]:
+    """What keeps a run from building on another: a wrong status or hashes that differ."""
+    problems = [] if upstream.get("status") in FINAL else [f"status:{upstream.get('status')}"]
+    return problems + [k for k in keys if upstream.get(k) != expected.get(k)]
+
+
+def run_record(stage: str, inputs: dict[str, str], outputs: dict[str, str], policy: dict) -> dict:
+    """Resolved configuration of a stage with the hashes of what it read and wrote."""
+    body = {"stage": stage, "inputs": dict(sorted(inputs.items())), "policy": policy}
+    return {**body, "run_key": stable_hash(body), "outputs": dict(sorted(outputs.items())), "at_utc": datetime.now(timezone.utc).isoformat()}

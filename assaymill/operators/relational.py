@@ -115,12 +115,31 @@ def waterfall(df: DataFrame, levels: list[tuple[str, Column]], cell: str, drug:
     return per.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def content_hash(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """One row: SHA-256 over the ordered hashes of canonical rows.
+def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(content_hash, n): a hash of the multiset of rows, whatever their order and partitions.
 
-    Rows are hashed where they lie and combined in 256 ordered groups of the key's hash, so the driver and no task gathers whole rows.
+    Each row's SHA-256 is cut into four numbers of 60 bits whose sums over all rows are hashed with the count: partial sums combine on the map side
+    and no task gathers rows. Values are taken as text, NULL as a zero character.
     """
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    slim = df.select(F.col(key).cast("string").alias("k"), row.alias("h")).withColumn("g", F.substring(F.sha2("k", 256), 1, 2))
-    group = slim.groupBy("g").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return group.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: F.concat(x["g"], x["h"])), ""), 256).alias("content_hash"), F.count(F.lit(1)).alias("n_groups"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return df.select(row.alias("h")).agg(F.sha2(F.concat_ws("|", *[F.coalesce(part(i), F.lit("0")) for i in range(4)], F.count(F.lit(1)).cast("string")), 256).alias("content_hash"), F.count(F.lit(1)).alias("n"))
+
+
+def schema_problems(df: DataFrame, required: list[str], forbidden: list[str] = ()) -> list[str]:
+    """Missing required and present forbidden columns, without a job."""
+    have = set(df.columns)
+    return [f"missing:{c}" for c in required if c not in have] + [f"forbidden:{c}" for c in forbidden if c in have]
+
+
+def examples(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows in a total order, as the feature of a report."""
+    return df.orderBy(*order).limit(n)
+
+
+def recomputed(saved: DataFrame, fresh: DataFrame, key: list[str], columns: list[str], rtol: float = 1e-9, atol: float = 1e-9) -> DataFrame:
+    """(key, column, saved, fresh) of numbers that differ beyond the tolerance or exist on one side only."""
+    long = lambda d, n: d.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*key, "x.column", F.col("x.v").alias(n))
+    met = long(saved, "saved").join(long(fresh, "fresh"), [*key, "column"], "full_outer")
+    near = F.abs(F.col("saved") - F.col("fresh")) <= atol + rtol * F.abs(F.col("fresh"))
+    return met.filter(~F.coalesce(near, F.col("saved").isNull() & F.col("fresh").isNull()))

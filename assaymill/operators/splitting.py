@@ -19,10 +19,10 @@ def group_table(df: DataFrame, group: str, stratum: str, member: str) -> DataFra
     )
 
 
-def choose_hold_out(groups: list[tuple[str, str, int, str]], ratio: float, seed: int) -> set[str]:
+def choose_hold_out(groups: list[tuple[str, str, int, str]], ratio: float, seed: int, members: dict[str, int] | None = None) -> set[str]:
     """Groups (g, stratum, size, first member) to hold out, about ``ratio`` of the members of every stratum.
 
-    Strata are taken in the order of their first member. A group joins while the stratum stays below its target by no more than half its largest group; a
+    ``members`` counts all members of a stratum, those in mixed groups included; without it the groups' sizes count. Strata are taken in the order of their first member. A group joins while the stratum stays below its target by no more than half its largest group; a
     stratum called MIXED (groups over several strata) fills a rounded target of at least one member.
     """
     rng = np.random.default_rng(seed)
@@ -34,7 +34,7 @@ def choose_hold_out(groups: list[tuple[str, str, int, str]], ratio: float, seed:
         order = sorted(gs, key=lambda g: (-g[2], g[0]))
         rng.shuffle(order)
         total, top, got = sum(g[2] for g in gs), max(g[2] for g in gs), 0
-        target = max(1, round(ratio * total)) if name == "MIXED" else ratio * total
+        target = max(1, round(ratio * total)) if name == "MIXED" else ratio * (members or {}).get(name, total)
         for g in order:
             size = int(g[2])
             if name == "MIXED" or got + size <= target + 0.5 * top:
@@ -49,7 +49,8 @@ def hold_out(df: DataFrame, group: str, stratum: str, member: str, ratio: float
     """(member, group, region): region ``hold`` or ``dev`` per member; whole groups only."""
     t = group_table(df, group, stratum, member)
     rows = [(r["g"], "MIXED" if r["n_strata"] > 1 else r["stratum"] or "", r["size"], r["first"]) for r in t.collect()]
-    held = choose_hold_out(rows, ratio, seed)
+    per = df.groupBy(member).agg(F.max(stratum).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    held = choose_hold_out(rows, ratio, seed, {r["s"] or "": r["n"] for r in per.collect()})
     chosen = df.sparkSession.createDataFrame([(g,) for g in sorted(held)], f"{group} string").withColumn("_h", F.lit(1))
     return df.select(member, group).distinct().join(chosen, group, "left").select(member, group, F.when(F.col("_h") == 1, "hold").otherwise("dev").alias("region"))
 
@@ -60,9 +61,9 @@ def deal_folds(groups: list[tuple[str, str, int]], n: int, seed: int) -> dict[st
     load, fold = [0] * n, {}
     for stratum in sorted({s for _, s, _ in groups}):
         gs = sorted(((g, c) for g, s, c in groups if s == stratum), key=lambda x: (-x[1], x[0]))
-        order = [gs[i] for i in rng.permutation(len(gs))]
+        rng.shuffle(gs)
         turn = sorted(range(n), key=lambda f: load[f])
-        for i, (g, c) in enumerate(order):
+        for i, (g, c) in enumerate(gs):
             f = turn[i % n]
             fold[g] = f
             load[f] += c

@@ -284,7 +284,7 @@ def q11_eligibility(spark: S, sf: str) -> DataFrame:
 
 
 def q12_content_hash(spark: S, sf: str) -> DataFrame:
-    return R.content_hash(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey", "c_name", "c_mktsegment"], "c_custkey")
+    return R.content_hash(table(spark, sf, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
 
 
 def g01_k_core(spark: S, sf: str) -> DataFrame:
@@ -390,6 +390,9 @@ ORACLE = {
     "q08_mismatch_attribution": f"WITH {_D} SELECT compound_id, CASE WHEN ik_a IS NULL OR ik_r IS NULL THEN 'missing_key' WHEN split_part(ik_a, '-', 1) = split_part(ik_r, '-', 1) THEN 'stereo_or_charge' ELSE 'skeleton' END AS attribution FROM d WHERE ik_a IS DISTINCT FROM ik_r",
     "q09_key_audit": f"SELECT compound_id, CASE count(DISTINCT k) WHEN 0 THEN 'missing' WHEN 1 THEN 'exact' ELSE 'conflict' END AS status FROM (SELECT {_I('compound_id')} AS compound_id, CASE WHEN regexp_full_match(x, '[A-Z]{{14}}-[A-Z]{{10}}-[A-Z]') THEN x END AS k FROM (SELECT compound_id, trim(inchikey_adjudicated) AS x FROM compound_master UNION ALL SELECT compound_id, trim(inchikey_recomputed) FROM compound_master)) WHERE compound_id IS NOT NULL GROUP BY 1",
     "q11_eligibility": f"WITH {_P}, {_D}, t AS (SELECT compound_id, count(DISTINCT cell_id) AS n, max(y) > min(y) AS v FROM p WHERE role = 'test' GROUP BY 1) SELECT d.compound_id, coalesce(n, 0) AS n_cells, coalesce(v, false) AS label_variance, coalesce(n, 0) >= 10 AS meets_min FROM d LEFT JOIN t USING (compound_id)",
+    "q12_content_hash": "WITH h AS (SELECT sha256(concat_ws(chr(31), CAST(c_custkey AS VARCHAR), coalesce(c_name, chr(0)), coalesce(c_mktsegment, chr(0)))) AS h FROM customer) SELECT sha256(concat_ws('|', "
+    + ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS UBIGINT)) AS VARCHAR)" for i in range(4))
+    + ", CAST(count(*) AS VARCHAR))) AS content_hash, count(*) AS n FROM h",
     "g01_k_core": _rounds(f"{_P}, e0 AS (SELECT DISTINCT cell_id, compound_id FROM p)", "cell_id", "compound_id", 8, 6),
     "g01_order_core": _rounds("e0 AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "o_custkey", "l_partkey", 10, 30),
     "g02_components": """WITH RECURSIVE k AS (SELECT p_partkey AS v, 'a' || p_name || '|' || p_size AS key FROM part UNION SELECT p_partkey, 'b' || p_brand || '|' || p_type || '|' || p_size FROM part), e AS (SELECT DISTINCT a.v AS a, b.v AS b FROM k a JOIN k b USING (key)),

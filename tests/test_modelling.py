@@ -137,6 +137,34 @@ def test_nearest_other_against_brute_force(spark):
         assert got[i] == (int(np.argmax(s)), round(max(s), 9))
 
 
+def test_neighbour_means_and_pair_counts_over_blocks(spark, monkeypatch):
+    from assaymill.operators import blocks as B
+
+    rng = np.random.default_rng(5)
+    t = [(f"t{i:03d}", "ab"[i % 2], float(rng.integers(0, 9)), [float(x) for x in rng.integers(0, 4, 2)]) for i in range(120)]
+    q = [(f"q{i}", "ab"[i % 2], [1.0, 2.0]) for i in range(6)] + [("lone", "c", [0.0, 0.0])]
+    small = lambda f: lambda *a, **k: f(*a, **{**k, "size": 7})
+    monkeypatch.setattr(E, "blocks", small(B.blocks))
+    monkeypatch.setattr(M, "blocks", small(B.blocks))
+    got = dict(rows(E.neighbour_mean(spark.createDataFrame(t, "sample_id string, g string, y double, v array<double>"), spark.createDataFrame(q, "sample_id string, g string, v array<double>"), "g", "v", 4)))
+    for s, g, v in q[:6]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, x)), i, y) for i, h, y, x in t if h == g)[:4]
+        assert got[s] == pytest.approx(sum(y for *_, y in near) / 4)
+    assert "lone" not in got
+    p = [(g, y, float(rng.integers(0, 5))) for _, g, y, _ in t]
+    acc = dict(rows(M.pair_accuracy(spark.createDataFrame(p, "g string, y_true double, y_pred double"), ["g"])))
+    for g in "ab":
+        w = [(a, b) for k, a in enumerate(p) for b in p[k + 1 :] if a[0] == b[0] == g and a[1] != b[1]]
+        assert acc[g] == pytest.approx(np.mean([np.sign(a[1] - b[1]) == np.sign(a[2] - b[2]) for a, b in w]))
+
+
+def test_preflight_and_run_record():
+    assert G.preflight({"status": "failed", "data_hash": 1}, {"data_hash": 2}) == ["status:failed", "data_hash"]
+    assert G.preflight({"status": "smoke", "data_hash": 1}, {"data_hash": 1}) == []
+    a, b = (G.run_record("s", {"x": "1"}, {"y": o}, {}) for o in "12")
+    assert a["run_key"] == b["run_key"]
+
+
 def test_elastic_net_matches_normal_equations():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 4))

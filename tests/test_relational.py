@@ -74,10 +74,17 @@ def test_waterfall_counts_null_flags_as_failed(spark):
 
 def test_content_hash_ignores_row_order_and_partitions(spark):
     d = spark.createDataFrame([(i, f"v{i}") for i in range(100)], "k int, v string")
-    h = lambda x: R.content_hash(x, ["k", "v"], "k").first()["content_hash"]
+    h = lambda x: R.content_hash(x, ["k", "v"]).first()["content_hash"]
     assert h(d) == h(d.repartition(7).orderBy(F.rand(1))) != h(d.withColumn("v", F.when(F.col("k") == 3, "w").otherwise(F.col("v"))))
 
 
+def test_schema_and_recomputation(spark):
+    d = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, 3.0)], "k string, x double, z double")
+    assert R.schema_problems(d, ["k", "q"], ["z"]) == ["missing:q", "forbidden:z"]
+    e = d.withColumn("x", F.col("x") + F.when(F.col("k") == "b", 0.1).otherwise(1e-12)).filter("k <> 'c'")
+    assert rows(R.recomputed(d, e, ["k"], ["x", "z"]).select("k", "column")) == [("b", "x")]
+
+
 def test_ranks_correlation_and_holm(spark):
     d = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("a", 2.0, 3.0), ("b", 1.0, 5.0), ("b", 2.0, 5.0), ("c", 1.0, 1.0)], "g string, x double, y double")
     got = {r["g"]: r["rho"] for r in K.spearman(d, ["g"], "x", "y").collect()}
