@@ -253,8 +253,8 @@ def scored_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_verify, "doc_id bigint, item_id string, covered double, reproduced double")
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: float = 0.55, same: float = 0.6) -> DataFrame:
-    """(doc_id, item_id, covered): stretches cover at least ``least`` of the item's words, of which at least ``same`` are
-    reproduced (the others being the few words changed)."""
+def leaks(docs: DataFrame, items: DataFrame, least: float = 0.55, same: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, covered): stretches cover at least ``least`` of the item's words, and at least ``same`` of them are
+    reproduced as they stand (the others being the few words changed); sentences of similar build reach neither."""
     s = scored_leaks(docs, items)
-    return s.filter((F.round("covered", 6) >= least) & (F.col("reproduced") >= same * F.col("covered"))).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))
+    return s.filter((F.round("covered", 6) >= least) & (F.round("reproduced", 6) >= same)).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))

@@ -123,12 +123,14 @@ def assign_components(entities: DataFrame, targets: DataFrame, seed: int = 11) -
     goal = [(r["split"], float(r["target_share"])) for r in targets.select("split", "target_share").filter("split IS NOT NULL AND target_share > 0").distinct().orderBy("split").collect()]
     if not goal:
         raise ValueError("split_targets names no split with a positive share")
-    plan = spark.createDataFrame(plan_counts(sizes, goal), "cs string, size bigint, split string, lo bigint, hi bigint")
+    rows = plan_counts(sizes, goal)
+    plan = spark.createDataFrame(rows, "cs string, size bigint, split string, lo bigint, hi bigint")
+    mark = F.broadcast if len(rows) <= 200_000 else (lambda d: d)
     w = Window.partitionBy("cs", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("cs", "size", "salt").orderBy("h", "root")) + F.col("before")
     ranked = comps.join(offsets, ["cs", "size", "salt"]).withColumn("rank", rank)
-    put = ranked.join(F.broadcast(plan), ["cs", "size"]).filter("rank > lo AND rank <= hi").select("root", "split")
+    put = ranked.join(mark(plan), ["cs", "size"]).filter("rank > lo AND rank <= hi").select("root", "split")
     return entities.join(put, "root").select("v", "root", "stratum", "split")
 
 
