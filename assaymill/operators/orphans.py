@@ -9,6 +9,10 @@ Plan, made for one key holding a third of all references:
 3. where single rows are wanted, rows of heavy keys (at least ``heavy_share`` of all references, hence at most
    ``1 / heavy_share`` keys per field) are checked against a broadcast of those keys' judgements, the others by a
    shuffle join (or by broadcast while the judgements are few, by count), and both parts are united.
+
+Defined cases: NULL, blank and placeholder values are no references; a reference without a moment dangles and is counted under period NULL; a row without
+an id of its own is reported under NULL; repeated rows are repeated references; a registration without a start, or that ends before it starts, validates
+nothing; an empty master leaves every reference dangling, empty facts leave none. Only named columns are read.
 """
 
 from __future__ import annotations
