@@ -97,22 +97,26 @@ def table_diff(a: DataFrame, b: DataFrame, row: str, numeric: list[str], text: l
 
 
 def waterfall(df: DataFrame, levels: list[tuple[str, Column]], cell: str, drug: str) -> DataFrame:
-    """(step, level, n_rows, n_cells, n_drugs, n_pairs) over successively narrower filters, in two passes over the rows whatever the number of levels.
+    """(step, level, n_rows, n_cells, n_drugs, n_pairs) over successively narrower filters, in one pass over the rows.
 
-    Rows are first reduced to one per (pair, depth), where depth is the number of levels passed; distinct counts then run over pairs.
+    A row's depth is the number of levels it passes; a cell, drug or pair is counted at a level if its deepest row reaches it. So rows are reduced to pairs, pairs to
+    the deepest level of each entity, and no distinct count expands the rows per level.
     """
     passed, depth = F.lit(True), F.lit(0)
     for _, c in levels:
         passed = passed & F.coalesce(c, F.lit(False))
         depth = depth + passed.cast("int")
-    per = df.select(F.col(cell).alias("c"), F.col(drug).alias("d"), depth.alias("depth")).groupBy("c", "d", "depth").agg(F.count(F.lit(1)).alias("n"))
-    aggs = []
-    for i in range(1, len(levels) + 1):
-        at = F.col("depth") >= i
-        aggs += [F.coalesce(F.sum(F.when(at, F.col("n"))), F.lit(0)).alias(f"r{i}"), F.countDistinct(F.when(at, F.col("c"))).alias(f"c{i}"), F.countDistinct(F.when(at, F.col("d"))).alias(f"d{i}"),
-                 F.countDistinct(F.when(at & F.col("c").isNotNull() & F.col("d").isNotNull(), F.struct("c", "d"))).alias(f"p{i}")]
-    rows = [F.struct(F.lit(i).alias("step"), F.lit(n).alias("level"), *[F.col(f"{k}{i}").cast("bigint").alias(m) for k, m in (("r", "n_rows"), ("c", "n_cells"), ("d", "n_drugs"), ("p", "n_pairs"))]) for i, (n, _) in enumerate(levels, 1)]
-    return per.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    steps = range(1, len(levels) + 1)
+    rows = [F.count_if(F.col("depth") >= i).alias(f"r{i}") for i in steps]
+    pair = df.select(F.col(cell).alias("c"), F.col(drug).alias("d"), depth.alias("depth")).groupBy("c", "d").agg(F.max("depth").alias("deep"), *rows)
+    unit = lambda kind, key, own: F.struct(F.lit(kind).alias("kind"), key.alias("key"), *[(F.col(f"r{i}") if own else F.lit(0).cast("bigint")).alias(f"r{i}") for i in steps])
+    both = F.when(F.col("c").isNotNull() & F.col("d").isNotNull(), F.concat_ws("\x1f", F.col("c").cast("string"), F.col("d").cast("string")))
+    units = pair.select("deep", F.explode(F.array(unit("c", F.col("c").cast("string"), False), unit("d", F.col("d").cast("string"), False), unit("p", both, True))).alias("u")).select("deep", "u.*")
+    entity = units.groupBy("kind", "key").agg(F.max("deep").alias("deep"), *[F.sum(f"r{i}").alias(f"r{i}") for i in steps])
+    at = lambda kind, i: F.count_if((F.col("kind") == kind) & F.col("key").isNotNull() & (F.col("deep") >= i))
+    one = entity.agg(*[x for i in steps for x in (F.coalesce(F.sum(f"r{i}"), F.lit(0)).alias(f"r{i}"), at("c", i).alias(f"c{i}"), at("d", i).alias(f"d{i}"), at("p", i).alias(f"p{i}"))])
+    out = [F.struct(F.lit(i).alias("step"), F.lit(n).alias("level"), *[F.col(f"{k}{i}").cast("bigint").alias(m) for k, m in (("r", "n_rows"), ("c", "n_cells"), ("d", "n_drugs"), ("p", "n_pairs"))]) for i, (n, _) in enumerate(levels, 1)]
+    return one.select(F.explode(F.array(*out)).alias("x")).select("x.*")
 
 
 def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
