@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assaymill.functions.ids import sql_strict_id
+from assaymill.functions.ids import loose_id, sql_strict_id, strict_id
 from assaymill.llm import components, leakage, matching, mixing, neighbours, overlap, splits, subjects
 from assaymill.session import settle, table
 
@@ -40,6 +40,15 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(total, ["kind", "lineage"]).join(F.broadcast(t), "split", "left").withColumn("share", F.col("n") / F.col("of"))
 
 
+def p5_divided_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded groups whose members lie in several splits, per kind: none."""
+    s = settle(p5_splits(spark, sf_dir)).select("kind", "entity_id", "split")
+    c = table(spark, sf_dir, "cell_group_assignment").select(F.lit("cell").alias("kind"), strict_id("cell_id").alias("entity_id"), loose_id("group_id").alias("g"))
+    d = table(spark, sf_dir, "drug_group_assignment").select(F.lit("compound").alias("kind"), strict_id("compound_id").alias("entity_id"), loose_id("chemical_group_id").alias("g"))
+    met = c.unionByName(d).filter("g IS NOT NULL").join(s, ["kind", "entity_id"]).groupBy("kind", "g").agg(F.countDistinct("split").alias("n"))
+    return met.groupBy("kind").agg(F.count_if(F.col("n") > 1).alias("n_divided"))
+
+
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.chemical_groups(table(spark, sf_dir, "drug_group_assignment"), table(spark, sf_dir, "core_samples"))
 
@@ -108,6 +117,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(settle(p8_mix(spark, sf_dir)), table(spark, sf_dir, "source_weights"))
 
 
+def p8_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources used more often than allowed, or in no weight: none."""
+    used = p8_mix(spark, sf_dir).groupBy("source").agg(F.max("repeats").alias("most"))
+    w = mixing.clean_weights(table(spark, sf_dir, "source_weights"))
+    return used.join(w, "source", "left").agg(F.count_if(F.col("max_repeats").isNull() | (F.col("most") > F.col("max_repeats"))).alias("n_excess"))
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_labels"))
 
@@ -127,10 +143,10 @@ QUERIES = {
     "p2_found": p2_found, "p2_matches": p2_matches,
     "p3_found": p3_found, "p3_recall": p3_recall,
     "p4_found": p4_found, "p4_overlap_report": p4_overlap_report,
-    "p5_splits": p5_splits, "p5_shares": p5_shares,
+    "p5_splits": p5_splits, "p5_shares": p5_shares, "p5_divided_groups": p5_divided_groups,
     "p6_found": p6_found, "p6_membership": p6_membership,
     "p7_found": p7_found, "p7_leaked_items": p7_leaked_items,
-    "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_excess": p8_excess,
     "p9_found": p9_found, "p9_composition": p9_composition,
 }
 
@@ -154,6 +170,8 @@ ORACLE = {
  src AS (SELECT DISTINCT sample_id, nullif(trim(release_id), '') AS release_id FROM core_samples)
  SELECT fo.r AS role, src.release_id, count(*) AS n_eval, CAST(sum(h.n) AS BIGINT) AS n_pairs FROM h JOIN fo ON fo.sample_id = h.e AND fo.r <> 'train'
  LEFT JOIN src ON src.sample_id = h.e GROUP BY 1, 2""",
+    "p5_divided_groups": "SELECT 'cell' AS kind, CAST(0 AS BIGINT) AS n_divided UNION ALL SELECT 'compound', CAST(0 AS BIGINT)",
+    "p8_excess": "SELECT CAST(0 AS BIGINT) AS n_excess",
     "p6_found": f"{_GROUPS} SELECT compound_id, chemical_group_id FROM g WHERE n_members > 1",
     "p6_membership": f"{_GROUPS} SELECT * FROM g",
 }
