@@ -5,8 +5,8 @@
 2. Each table applies a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and assigns the vector
    to the nearest signed axis; further digits, as many as the number of vectors asks for, come from further rotations. A vector is stored
    under its own code and also queries the code of its second nearest axis in the least certain digit (multiprobe).
-3. Buckets are scored exactly in float64 (cosine) or by bit counts (Tanimoto). A bucket beyond ``BUCKET`` rows is refined by
-   finer digits, and what is still larger is scored as pairs of blocks in separate tasks: nothing is capped or dropped.
+3. Buckets are scored exactly in float64 (cosine) or by bit counts (Tanimoto). A bucket beyond ``BUCKET`` rows is scored whole
+   as pairs of blocks in separate tasks: nothing is capped or dropped, at a cost that grows with the square of its rows.
 4. The best k groups of each group over all tables are expanded to ids, ties to the smaller id.
 
 Defined cases: NULL, incomplete, non-finite, wrong-length and all-zero vectors take no part; a lone vector has no pair;
@@ -151,17 +151,15 @@ def _coder(kind: str, sizes: list[int]):
         for b in batches:
             n = b.num_rows
             v = hashed_view(unpack(b.column("vec").to_pylist(), kind), kind) if n else np.zeros((0, d), np.float32)
-            own, alt, fine = (np.zeros((n, tables), np.int64) for _ in range(3))
+            own, alt = (np.zeros((n, tables), np.int64) for _ in range(2))
             for t in range(tables if n else 0):
                 parts = [digit((v @ rotation(d, 1000 * t + k))[:, :m]) for k, m in enumerate(sizes)]
                 unsure = np.stack([p[2] for p in parts]).argmin(0)
                 for k, ((first, second, _), m) in enumerate(zip(parts, sizes)):
                     own[:, t] = own[:, t] * 2 * m + first
                     alt[:, t] = alt[:, t] * 2 * m + np.where(unsure == k, second, first)
-                for k in (900, 901):  # for buckets that turn out too large
-                    fine[:, t] = fine[:, t] * 2 * d + digit(v @ rotation(d, 1000 * t + k))[0]
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables, pa.int32()), pa.array(x.ravel())) for x in (own, alt, fine)]
-            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("ids"), b.column("vec"), *lists], ["gid", "ids", "vec", "own", "alt", "fine"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables, pa.int32()), pa.array(x.ravel())) for x in (own, alt)]
+            yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("ids"), b.column("vec"), *lists], ["gid", "ids", "vec", "own", "alt"])
 
     return run
 
@@ -214,20 +212,19 @@ def copy_groups(valid: DataFrame, k: int) -> DataFrame:
 def bucket_candidates(groups: DataFrame, kind: str, k: int) -> DataFrame:
     """(gid, other, sim): per group the k best found in each bucket it visits."""
     n = groups.count()
-    coded = settle(groups.mapInArrow(_coder(kind, digit_sizes(n, KINDS[kind][1])), "gid bigint, ids array<bigint>, vec binary, own array<bigint>, alt array<bigint>, fine array<bigint>"))
-    each = lambda *cols: coded.select(*cols, F.posexplode(F.arrays_zip("own", "alt", "fine")).alias("t", "x")).select(*cols, "t", "x.*")
-    sizes = each().groupBy("t", "own", "fine").agg(F.count(F.lit(1)).alias("fn"))
-    hot = settle(sizes.groupBy("t", F.col("own").alias("code")).agg(F.sum("fn").alias("m")).filter(F.col("m") > BUCKET).select("t", "code", F.lit(True).alias("hot")))
-    n_hot = hot.count()
-    big = sizes.filter(F.col("fn") > BUCKET).select("t", F.col("own").alias("code"), "fine", F.ceil(F.col("fn") / BUCKET).cast("int").alias("blocks"))
+    coded = settle(groups.mapInArrow(_coder(kind, digit_sizes(n, KINDS[kind][1])), "gid bigint, ids array<bigint>, vec binary, own array<bigint>, alt array<bigint>"))
+    each = lambda *cols: coded.select(*cols, F.posexplode(F.arrays_zip("own", "alt")).alias("t", "x")).select(*cols, "t", "x.*")
+    sizes = each().groupBy("t", F.col("own").alias("code")).agg(F.count(F.lit(1)).alias("m"))
+    big = settle(sizes.filter(F.col("m") > BUCKET).withColumn("blocks", F.ceil(F.col("m") / BUCKET).cast("int")))
+    n_big, copies = big.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("m") * F.col("blocks") * 3), F.lit(0))).first()
+    big = big.select("t", "code", "blocks")
     probes = F.explode(F.array(F.struct(F.col("own").alias("code"), F.lit(True).alias("cand")), F.struct(F.col("alt").alias("code"), F.lit(False).alias("cand"))))
     # a second nearest axis that equals the first (one axis only) would query the same bucket twice
-    rows = each("gid", "vec").withColumn("p", probes).select("gid", "vec", "t", "fine", "p.*", "own").filter("cand OR code <> own").drop("own")
-    if n_hot == 0:
-        rows = rows.withColumns({"hot": F.lit(None).cast("boolean"), "blocks": F.lit(None).cast("int")})
+    rows = each("gid", "vec").withColumn("p", probes).select("gid", "vec", "t", "p.*", "own").filter("cand OR code <> own").drop("own")
+    if n_big == 0:
+        rows = rows.withColumn("blocks", F.lit(None).cast("int"))
     else:  # a large bucket has more than BUCKET rows, so there are at most n x tables / BUCKET of them
-        mark = F.broadcast if n_hot <= HOT_BROADCAST else (lambda d: d)
-        rows = rows.join(mark(hot), ["t", "code"], "left").join(mark(big), ["t", "code", "fine"], "left")
+        rows = rows.join(F.broadcast(big) if n_big <= HOT_BROADCAST else big, ["t", "code"], "left")
     block = F.pmod(F.xxhash64("gid"), F.col("blocks"))
     piece = lambda cell, cand, query: F.struct(cell.cast("bigint").alias("cell"), cand.alias("cand"), query.alias("query"))
     whole = F.array(piece(F.lit(0), F.col("cand"), F.lit(True)))
@@ -235,9 +232,8 @@ def bucket_candidates(groups: DataFrame, kind: str, k: int) -> DataFrame:
     as_query = F.transform(every, lambda i: piece(block * F.col("blocks") + i, F.lit(False), F.lit(True)))
     as_cand = F.transform(every, lambda j: piece(j * F.col("blocks") + block, F.lit(True), F.lit(False)))
     pieces = F.when(F.col("blocks").isNull(), whole).when(F.col("cand"), F.concat(as_query, as_cand)).otherwise(as_query)
-    bucket = F.when(F.col("hot"), F.xxhash64("t", "code", "fine")).otherwise(F.xxhash64("t", "code"))
-    rows = rows.select("gid", "vec", bucket.alias("b"), F.explode(pieces).alias("p")).select("gid", "vec", "b", "p.*")
-    bundles = max(1, n * TABLES[kind] * 2 // BUNDLE)
+    rows = rows.select("gid", "vec", F.xxhash64("t", "code").alias("b"), F.explode(pieces).alias("p")).select("gid", "vec", "b", "p.*")
+    bundles = max(1, (n * TABLES[kind] * 2 + copies) // BUNDLE)
     scored = rows.groupBy(F.pmod(F.xxhash64("b", "cell"), F.lit(bundles)).alias("bundle")).applyInArrow(_scorer(kind, k), "gid bigint, other bigint, sim bigint")
     return scored
 

@@ -55,6 +55,15 @@ def test_expression_lists_with_copies_scales_and_invalid_rows(spark):
     assert all(got[i] == want[i] for i in copies)
 
 
+def test_oversized_buckets_give_the_lists_of_buckets_in_one_piece(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = (rng.normal(size=128) * 1.8 + rng.normal(size=(300, 128))).astype(np.float32)  # cosines of about 0.6 to 0.9
+    t = table(spark, list(range(len(x))), [v.tolist() for v in x])
+    whole = lists(N.neighbour_lists(t, "expression"))
+    monkeypatch.setattr(N, "BUCKET", 40)
+    assert lists(N.neighbour_lists(t, "expression")) == whole
+
+
 def test_fingerprint_lists(spark):
     rng = np.random.default_rng(1)
     base = rng.random((15, 2048)) < 0.03
