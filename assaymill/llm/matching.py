@@ -38,7 +38,7 @@ WALKS, LENGTH = 4, 6
 STEP = 128  #: records per gradient step
 NAME_TABLES, PROBES = 24, 4
 ID_BITS = 60
-SHARED = 64  #: lines sharing a value beyond which a second attribute must agree to make a candidate
+SHARED = 64  #: lines sharing a value beyond which they are joined in blocks of this size
 CALIBRATION_PAIRS = 20_000
 
 #: Decoration of a name that does not change which line is meant, and marks of a derived line.
@@ -415,35 +415,28 @@ def tagged(attribute: str, name: str):
     return lambda x: F.struct(F.lit(attribute).alias("attribute"), x.alias(name))
 
 
-def prefixed(attribute: str):
-    return lambda x: F.concat(F.lit(attribute + ":"), x)
-
-
 def candidates(recs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(prid, lrid) of records whose values were paired.
 
-    A value shared by more than SHARED lines pairs no group with a group: one of the other attributes must agree as well,
-    and the smallest line per tissue stands for those that agree in the value alone.
+    A value shared by more than SHARED lines is joined in blocks of about as many lines, so that no task holds the whole group.
+    Lines of a crowd that are alike in every attribute score alike, and the smallest id wins: it stands for them.
     """
     use = lambda side, r, v: recs.filter(F.col("side") == side).select(
-        F.col("rid").alias(r), *[F.col(a).alias(f"{r}_{a}") for a in ("number", "accession", "tissue")],
-        F.explode(F.concat(*[F.transform(a, tagged(a, v)) for a in ("name", "number", "accession")])).alias("x"),
-    ).select(r, f"{r}_number", f"{r}_accession", f"{r}_tissue", "x.*")
+        F.col("rid").alias(r), F.explode(F.concat(*[F.transform(a, tagged(a, v)) for a in ("name", "number", "accession")])).alias("x")
+    ).select(r, "x.*")
     lines, asked = use("L", "lrid", "lvalue"), use("P", "prid", "pvalue")
-    crowd = settle(lines.groupBy("attribute", "lvalue").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARED))
-    few = lines.join(crowd, ["attribute", "lvalue"], "left_anti")
-    plain_pairs = pairs.join(few.select("attribute", "lvalue", "lrid"), ["attribute", "lvalue"]).join(asked.select("attribute", "pvalue", "prid"), ["attribute", "pvalue"]).select("prid", "lrid")
+    value = ["attribute", "lvalue"]
+    crowd = settle(lines.groupBy(*value).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARED))
+    few = lines.join(crowd, value, "left_anti")
+    plain_pairs = pairs.join(few, value).join(asked, ["attribute", "pvalue"]).select("prid", "lrid")
     if not crowd.limit(1).count():
         return plain_pairs.distinct()
-    many = lines.join(crowd.select("attribute", "lvalue"), ["attribute", "lvalue"])
-    met = pairs.join(crowd.select("attribute", "lvalue"), ["attribute", "lvalue"], "left_semi").join(asked, ["attribute", "pvalue"])
-    second = lambda r: F.explode(F.concat(*[F.transform(f"{r}_{a}", prefixed(a)) for a in ("number", "accession")]))
-    agree = met.withColumn("k", second("prid")).join(many.withColumn("k", second("lrid")).select("attribute", "lvalue", "k", "lrid").distinct(), ["attribute", "lvalue", "k"]).select("prid", "lrid")
-    first = many.withColumn("k", F.explode_outer("lrid_tissue")).groupBy("attribute", "lvalue", "k").agg(F.min("lrid").alias("lrid"))
-    alone = met.withColumn("k", F.explode_outer("prid_tissue")).alias("m").join(
-        first.alias("f"), (F.col("m.attribute") == F.col("f.attribute")) & (F.col("m.lvalue") == F.col("f.lvalue")) & F.col("m.k").eqNullSafe(F.col("f.k"))
-    ).select("m.prid", "f.lrid")
-    return plain_pairs.unionByName(agree).unionByName(alone).distinct()
+    alike = recs.filter("side = 'L'").groupBy(*ATTRIBUTES, "derived").agg(F.min("rid").alias("lrid")).select("lrid")
+    many = settle(lines.join(crowd.select(*value), value).join(alike, "lrid", "left_semi"))
+    blocks = many.groupBy(*value).agg(F.ceil(F.count(F.lit(1)) / SHARED).cast("int").alias("blocks"))
+    stored = many.join(blocks, value).select(*value, "lrid", F.pmod(F.xxhash64("lrid"), F.col("blocks")).cast("int").alias("block"))
+    met = pairs.join(blocks, value).join(asked, ["attribute", "pvalue"]).select(*value, "prid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return plain_pairs.unionByName(met.join(stored, [*value, "block"]).select("prid", "lrid")).distinct()
 
 
 def calibrate(scored: DataFrame) -> tuple[float, float]:

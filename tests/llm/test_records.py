@@ -193,3 +193,12 @@ def test_a_name_shared_by_many_lines_pairs_no_group_with_a_group(spark):
 def test_matching_empty_tables(spark):
     assert M.match(spark.createDataFrame([], LINE), spark.createDataFrame([], PASS)).count() == 0
     assert M.match(spark.createDataFrame([("SIDM1", "AB-1", None, None, None, None, None, "s")], LINE), spark.createDataFrame([], PASS)).count() == 0
+
+
+@pytest.mark.parametrize("n", [64, 65])
+def test_a_mistyped_identifier_finds_its_line_among_few_or_many_of_the_name(spark, n):
+    number = lambda i: str(1_000_000 + i * 7919)
+    lines = [(f"SIDM{i + 100}", "SAME-1", None, None, number(i), f"CVCL_{i * 7919 % 99991:05d}", "Lung", "s") for i in range(n)]
+    asked = [("P1", "same 1", None, number(40)[:-1] + str((int(number(40)[-1]) + 5) % 10), None, "Lung", "e"), ("P2", "same 1", None, None, f"CVCL_{50 * 7919 % 99991:05d}"[:-1] + "Z", None, "e")]
+    got = M.match(spark.createDataFrame(lines, LINE), spark.createDataFrame(asked, PASS))
+    assert {(r["model_id"], r["sanger_model_id"]) for r in got.collect()} == {("P1", "SIDM140"), ("P2", "SIDM150")}
