@@ -177,11 +177,11 @@ def stretches(a: np.ndarray, b: np.ndarray) -> list[list[tuple[int, int]]]:
     return [first, [(i + i1 + 1, j + j1 + 1) for i, j in after[1]]]
 
 
-def coverage(item: tuple[list[str], list[str]], doc: tuple[list[str], list[str]], at: list[int]) -> tuple[float, float]:
-    """(share of the item's words in the stretches, share of them reproduced) at the best of the places around window hits ``at``."""
+def coverage(item: tuple[list[str], list[str]], doc: tuple[list[str], list[str]], at: list[int]) -> list[tuple[float, float]]:
+    """(share of the item's words in the stretches, share of them reproduced) at each of the places around window hits ``at``."""
     (it, iw), (dt, dw) = item, doc
     if not it:
-        return 0.0, 0.0
+        return []
     ids: dict[str, int] = {}
     a = np.array([ids.setdefault(t, len(ids)) for t in it])
     reach = len(it) + NEAR + 10
@@ -191,7 +191,7 @@ def coverage(item: tuple[list[str], list[str]], doc: tuple[list[str], list[str]]
             spans[-1][1] = p + reach
         else:
             spans.append([p - reach, p + reach])
-    best = (0.0, 0.0)
+    out = []
     for lo, hi in spans:
         lo = max(0, lo)
         b = np.array([ids.get(t, -1) for t in dt[lo:hi]])
@@ -199,8 +199,8 @@ def coverage(item: tuple[list[str], list[str]], doc: tuple[list[str], list[str]]
         pairs = [(i, j + lo) for s in found for i, j in s]
         same = consistent(it, iw, dt, dw, pairs)
         span = sum(s[-1][0] - s[0][0] + 1 for s in found)
-        best = max(best, (span / len(it), same / len(it)))
-    return best
+        out.append((span / len(it), same / len(it)))
+    return out
 
 
 def consistent(it: list[str], iw: list[str], dt: list[str], dw: list[str], pairs: list[tuple[int, int]]) -> int:
@@ -227,16 +227,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, item_id, item_text, at in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "item_id", "item_text", "at"))):
             if last[0] != text:
                 last = (text, canonical(text))
-            cover, same = coverage(cached(item_text), last[1], at)
-            d.append(doc_id)
-            i.append(item_id)
-            c.append(cover)
-            s.append(same)
+            for cover, same in coverage(cached(item_text), last[1], at):
+                d.append(doc_id)
+                i.append(item_id)
+                c.append(cover)
+                s.append(same)
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.string()), pa.array(c, pa.float64()), pa.array(s, pa.float64())], ["doc_id", "item_id", "covered", "reproduced"])
 
 
 def scored_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, covered, reproduced) for every candidate pair."""
+    """(doc_id, item_id, covered, reproduced) for every place of every candidate pair."""
     spark = docs.sparkSession
     told = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item_text")).filter("item_id IS NOT NULL AND item_text IS NOT NULL").distinct()
     windows = settle(told.mapInArrow(_item_windows, "item_id string, h bigint, ipos int, n_windows int, w int"))
@@ -254,7 +254,7 @@ def scored_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = 0.55, same: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, covered): stretches cover at least ``least`` of the item's words, and at least ``same`` of them are
+    """(doc_id, item_id, covered): at one place, stretches cover at least ``least`` of the item's words, and at least ``same`` of them are
     reproduced as they stand (the others being the few words changed); sentences of similar build reach neither."""
     s = scored_leaks(docs, items)
     return s.filter((F.round("covered", 6) >= least) & (F.round("reproduced", 6) >= same)).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))

@@ -129,6 +129,14 @@ def test_quotations_shuffles_and_similar_sentences_are_no_leaks(spark):
     assert leaked(spark, texts) == set()
 
 
+def test_a_sentence_of_similar_build_hides_no_leak_elsewhere_in_the_document(spark):
+    part = WORDS[: int(0.8 * len(WORDS))]
+    alike = " ".join(w if i % 9 < 5 else f"other{chr(97 + i % 26)}" for i, w in enumerate(part))  # wider, but fewer words as they stand
+    leak = " ".join(WORDS[: int(0.62 * len(WORDS))])
+    far = " filler" * 800 + " "
+    assert leaked(spark, [alike, leak, alike + far + leak, leak + far + alike, alike + far + alike]) == {1, 2, 3}
+
+
 def test_leaks_in_long_texts_short_items_and_empty_tables(spark):
     long = "word soup without end " * 60_000
     assert leaked(spark, [long + ITEM + long]) == {0}
