@@ -72,13 +72,18 @@ def f12_set_scores(spark: S, sf: str) -> DataFrame:
     return s.join(F.broadcast(stats), "set_name").select("vec_id", "set_name", F.round((F.col("score") - F.col("m")) / F.when(F.col("sd") > 1e-8, F.col("sd")).otherwise(1.0), 5).alias("score"))
 
 
-def f14_intervention(spark: S, sf: str) -> DataFrame:
+def f14_intervention_all_sets(spark: S, sf: str) -> DataFrame:
     """Set scores before and after zeroing one position: a caller's function on rows, then the same recomputation."""
     before = _long(spark, sf).withColumnRenamed("x", "z")
     knock = lambda d: d.withColumn("z", F.when(F.col("pos") == 8, F.lit(0.0)).otherwise(F.col("z")))
     a, b = (E.set_scores(d, _sets(spark), ["vec_id"], impute=False) for d in (before, knock(before)))
     met = a.withColumnRenamed("score", "before").join(b.withColumnRenamed("score", "after"), ["vec_id", "set_name"])
-    return met.filter("set_name LIKE 'mod8%'").select("vec_id", "set_name", F.round("before", 5).alias("before"), F.round("after", 5).alias("after"))
+    return met.select("vec_id", "set_name", F.round("before", 5).alias("before"), F.round("after", 5).alias("after"))
+
+
+def f14_intervention(spark: S, sf: str) -> DataFrame:
+    """The sets of its SQL twin."""
+    return f14_intervention_all_sets(spark, sf).filter("set_name LIKE 'mod8%'")
 
 
 def j15_set_overlap(spark: S, sf: str) -> DataFrame:
@@ -97,30 +102,48 @@ def x20_projection(spark: S, sf: str) -> DataFrame:
     return e.select("vec_id", F.round(X.dot("embedding", w), 5).alias("projection"))
 
 
-def _cell_vectors(spark: S, sf: str) -> DataFrame:
-    """Four leading embedding elements for every cell, by cell number."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 6)).alias("cell_vec"))
+def _cell_vectors(spark: S, sf: str, leading: int | None = None) -> DataFrame:
+    """The embedding of every cell, by cell number; ``leading``: only so many elements, as the SQL twins spell them out."""
+    v = F.col("embedding") if leading is None else F.slice("embedding", 1, leading)
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x.cast("double"), 6)).alias("cell_vec"))
     n = e.count()
     c = B.cells(spark, sf).select("cell_id", (F.regexp_extract("cell_id", r"(\d+)$", 1).cast("bigint") % n).alias("vec_id"))
     return c.join(e, "vec_id").select("cell_id", "cell_vec")
 
 
-def j14_knn_prediction(spark: S, sf: str) -> DataFrame:
-    p = B.pairs(spark, sf).join(_cell_vectors(spark, sf), "cell_id")
+def _knn(spark: S, sf: str, leading: int | None = None) -> DataFrame:
+    p = B.pairs(spark, sf).join(_cell_vectors(spark, sf, leading), "cell_id")
     return E.neighbour_mean(p.filter("role = 'train'"), p.filter("role = 'test'").select("sample_id", "compound_id", "cell_vec"), "compound_id", "cell_vec", 3).select("sample_id", F.round(F.col("prediction") + 1e-9, 4).alias("prediction"))
 
 
-def f15_pair_features(spark: S, sf: str) -> DataFrame:
+def j14_knn_prediction(spark: S, sf: str) -> DataFrame:
+    """Over four elements, as its SQL twin; ``j14_knn_whole_vectors`` is the whole job."""
+    return _knn(spark, sf, 4)
+
+
+def j14_knn_whole_vectors(spark: S, sf: str) -> DataFrame:
+    return _knn(spark, sf)
+
+
+def f15_pair_features(spark: S, sf: str, leading: int | None = None) -> DataFrame:
     drugs = B.compounds(spark, sf).select("compound_id", F.array((F.regexp_extract("compound_id", r"(\d+)$", 1).cast("double") % 11) / 10, F.length(F.coalesce("smiles", F.lit(""))).cast("double") / 50).alias("drug_vec"))
-    f = E.pair_features(B.pairs(spark, sf).select("sample_id", "cell_id", "compound_id", "y", "role"), _cell_vectors(spark, sf), drugs)
+    f = E.pair_features(B.pairs(spark, sf).select("sample_id", "cell_id", "compound_id", "y", "role"), _cell_vectors(spark, sf, leading), drugs)
     return f
 
 
-def f15_pair_feature_sums(spark: S, sf: str) -> DataFrame:
-    f = f15_pair_features(spark, sf)
+def _feature_sums(f: DataFrame) -> DataFrame:
     return f.select("sample_id", F.size("features").cast("bigint").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+def f15_pair_feature_sums(spark: S, sf: str) -> DataFrame:
+    """Over four cell elements, as its SQL twin; ``f15_whole_pair_feature_sums`` is the whole job."""
+    return _feature_sums(f15_pair_features(spark, sf, 4))
+
+
+def f15_whole_pair_feature_sums(spark: S, sf: str) -> DataFrame:
+    return _feature_sums(f15_pair_features(spark, sf))
+
+
 def m01_mean_baselines(spark: S, sf: str) -> DataFrame:
     p = B.pairs(spark, sf)
     t, q = p.filter("role = 'train'"), p.filter("role = 'test'").select("sample_id", "cell_id", "compound_id")
