@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from assaymill.functions.scalars import finite
@@ -125,12 +126,15 @@ def bootstrap(aligned: DataFrame, protocol: str, n_boot: int = 200, seed: int =
     for c in cols[protocol]:
         names[c] = sorted(r[0] for r in aligned.select(c).filter(F.col(c).isNotNull()).distinct().collect())  # group level, not row level
     draws = {c: [] for c in names}
-    for b in range(n_boot):
+    for _ in range(n_boot):
         for c, g in names.items():
-            draws[c] += [(b, d, g[i]) for d, i in enumerate(rng.integers(0, len(g), len(g)))]
+            draws[c].append(rng.integers(0, len(g), len(g)).astype(np.int32))
     for c, suffix, entity in (("cell_group", "c", "cell_id"), ("chemical_group", "d", "compound_id")):
         if c in names:
-            t = spark.createDataFrame(draws[c], f"b int, draw_{suffix} int, {c} string")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n_boot + 1) * len(names[c]), pa.int32()), pa.array(np.concatenate(draws[c])))
+            numbers = spark.createDataFrame(pa.table({"b": pa.array(range(n_boot), pa.int32()), "drawn": lists}))
+            groups = spark.createDataFrame(list(enumerate(names[c])), f"i int, {c} string")
+            t = numbers.select("b", F.posexplode("drawn").alias(f"draw_{suffix}", "i")).join(F.broadcast(groups), "i").drop("i")
             on = [c] if "b" not in rows.columns else [c, "b"]
             rows = rows.join(t, on).withColumn(entity, F.concat(entity, F.lit("#"), F.col(f"draw_{suffix}").cast("string")))
     two = rows.select("b", "cell_id", "compound_id", "y_true", F.explode(F.array(*[F.struct(F.lit(m).alias("side"), F.col(f"y_{m}").alias("y_pred")) for m in "ab"])).alias("x")).select("b", "cell_id", "compound_id", "y_true", "x.*")

@@ -71,17 +71,17 @@ def _against_lineage(spark: S, sf: str) -> DataFrame:
 
 def r11_bootstrap_lco(spark: S, sf: str) -> DataFrame:
     p = _against_lineage(spark, sf).withColumn("cell_group", F.col("cell_id"))
-    return M.bootstrap(p, "lco", n_boot=40)
+    return M.bootstrap(p, "lco", n_boot=1000)
 
 
 def r11_bootstrap_ldo(spark: S, sf: str) -> DataFrame:
     p = _against_lineage(spark, sf).withColumn("chemical_group", F.col("compound_id"))
-    return M.bootstrap(p, "ldo_so", n_boot=40)
+    return M.bootstrap(p, "ldo_so", n_boot=1000)
 
 
 def r11_bootstrap_db(spark: S, sf: str) -> DataFrame:
     p = _against_lineage(spark, sf).withColumn("cell_group", F.coalesce("lineage", F.lit("none"))).withColumn("chemical_group", F.col("compound_id"))
-    return M.bootstrap(p, "db", n_boot=20)
+    return M.bootstrap(p, "db", n_boot=1000)
 
 
 def w06_holm(spark: S, sf: str) -> DataFrame:

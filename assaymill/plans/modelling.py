@@ -174,13 +174,13 @@ def m05_per_drug_elastic_net(spark: S, sf: str) -> DataFrame:
 
 def m06_forest(spark: S, sf: str) -> DataFrame:
     f = settle(f15_pair_features(spark, sf))
-    m = L.forest(f.filter("role = 'train'"), trees=8, depth=5, share=1.0)
+    m = L.forest(f.filter("role = 'train'"), share=1.0)
     return L.linear_predict(m, f.filter("role = 'test'")).select("sample_id", *R6("y_pred"))
 
 
 def m09_factorisation(spark: S, sf: str) -> DataFrame:
     f = settle(f15_pair_features(spark, sf))
-    return L.linear_predict(L.factorisation(f.filter("role = 'train'"), 4, steps=20), f.filter("role = 'test'")).select("sample_id", *R6("y_pred"))
+    return L.linear_predict(L.factorisation(f.filter("role = 'train'")), f.filter("role = 'test'")).select("sample_id", *R6("y_pred"))
 
 
 def k11_reload_changes(spark: S, sf: str) -> DataFrame:

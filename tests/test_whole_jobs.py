@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from assaymill.plans import base as B, modelling as Q
+from assaymill.plans import base as B, evaluation as V, modelling as Q
 from assaymill.session import table
 from tests.oracle import SF
 
@@ -44,3 +44,26 @@ def test_models_see_whole_vectors_and_interventions_all_sets(spark):
     assert {len(r["features"]) for r in Q.f15_pair_features(spark, SF).limit(20).collect()} == {66}
     sets = {r["set_name"] for r in Q._sets(spark).select("set_name").distinct().collect()}
     assert {r["set_name"] for r in Q.f14_intervention_all_sets(spark, SF).select("set_name").distinct().collect()} == sets
+
+
+def test_bootstrap_forest_and_factorisation_run_at_full_size(spark, monkeypatch):
+    from inspect import signature
+
+    full = {"bootstrap": {"n_boot": 1000}, "forest": {"trees": 64, "depth": 12}, "factorisation": {"factors": 16, "steps": 100}}
+    asked = []
+
+    class Seen(Exception):
+        pass
+
+    for module, name in ((V.M, "bootstrap"), (Q.L, "forest"), (Q.L, "factorisation")):
+        def record(*a, _f=getattr(module, name), _n=name, **k):
+            bound = signature(_f).bind(*a, **k)
+            bound.apply_defaults()
+            asked.append((_n, {p: bound.arguments[p] for p in full[_n]}))
+            raise Seen
+
+        monkeypatch.setattr(module, name, record)
+    for query in (V.r11_bootstrap_lco, V.r11_bootstrap_ldo, V.r11_bootstrap_db, Q.m06_forest, Q.m09_factorisation):
+        with pytest.raises(Seen):
+            query(spark, SF)
+    assert len(asked) == 5 and all(v == full[n] for n, v in asked)
