@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assaymill.functions import scalars as X
-from assaymill.functions.ids import sql_strict_id, strict_id
+from assaymill.functions.ids import loose_id, sql_strict_id, strict_id
 from assaymill.operators import features as E, models as L, registry as G, splitting as P
 from assaymill.plans import base as B
 from assaymill.session import settle, shared_dir, table
@@ -248,11 +248,23 @@ def r10_learning_curve_subset(spark: S, sf: str) -> DataFrame:
     return d.select("sample_id")
 
 
+ROLES = ("train", "validation", "test")
+
+
+def _recorded(spark: S, sf: str, roles: tuple[str, ...]) -> DataFrame:
+    """Recorded samples of these roles, with the pair of cell and compound."""
+    f = table(spark, sf, "lpo_folds").select("sample_id", strict_id("cell_id").alias("cell_id"), strict_id("compound_id").alias("compound_id"), F.lower(F.trim("role")).alias("role")).filter(F.col("role").isin(*roles))
+    return f.withColumn("pair", F.when(F.col("cell_id").isNotNull() & F.col("compound_id").isNotNull(), F.concat_ws("|", "cell_id", "compound_id")))
+
+
 def q03_leakage_audit(spark: S, sf: str) -> DataFrame:
-    """Violations of the recorded roles: samples, pairs, cells and compounds in several roles."""
-    f = table(spark, sf, "lpo_folds").select("sample_id", strict_id("cell_id").alias("cell_id"), strict_id("compound_id").alias("compound_id"), F.lower(F.trim("role")).alias("role")).filter("role IN ('train', 'test')")
-    f = f.withColumn("pair", F.when(F.col("cell_id").isNotNull() & F.col("compound_id").isNotNull(), F.concat_ws("|", "cell_id", "compound_id")))
-    return P.leakage_audit(f, ["sample_id", "pair", "cell_id", "compound_id"], [])
+    """Violations of the recorded roles train and test: samples, pairs, cells and compounds in both."""
+    return P.leakage_audit(_recorded(spark, sf, ("train", "test")), ["sample_id", "pair", "cell_id", "compound_id"], [])
+
+
+def q03_leakage_audit_all_roles(spark: S, sf: str) -> DataFrame:
+    """As ``q03_leakage_audit``, which keeps to the two roles of its SQL twin, over train, validation and test."""
+    return P.leakage_audit(_recorded(spark, sf, ROLES), ["sample_id", "pair", "cell_id", "compound_id"], [])
 
 
 def q03_fold_isolation(spark: S, sf: str) -> DataFrame:
@@ -275,11 +287,21 @@ def q05_thin_drugs(spark: S, sf: str) -> DataFrame:
     return P.thin_drugs(f, 10, ["fold"])
 
 
+def _chemical(spark: S, sf: str, roles: tuple[str, ...]) -> DataFrame:
+    r = table(spark, sf, "lpo_folds").select("sample_id", F.lower(F.trim("role")).alias("role")).filter(F.col("role").isin(*roles)).distinct()
+    return B.samples(spark, sf).select("sample_id", "compound_id", "parent", "scaffold").join(r, "sample_id")
+
+
 def q06_chemical_isolation(spark: S, sf: str) -> DataFrame:
     """Parents and scaffolds that lie in train and test of the recorded roles."""
-    r = table(spark, sf, "lpo_folds").select("sample_id", F.lower(F.trim("role")).alias("role")).filter("role IN ('train', 'test')").distinct()
-    d = B.samples(spark, sf).select("sample_id", "parent", "scaffold").join(r, "sample_id")
-    return P.leakage_audit(d, ["parent", "scaffold"], [])
+    return P.leakage_audit(_chemical(spark, sf, ("train", "test")), ["parent", "scaffold"], [])
+
+
+def q06_chemical_isolation_all_roles(spark: S, sf: str) -> DataFrame:
+    """As ``q06_chemical_isolation``, which keeps to its SQL twin, over all three roles and with the chemical cluster."""
+    g = table(spark, sf, "drug_group_assignment").select(strict_id("compound_id").alias("compound_id"), loose_id("chemical_group_id").alias("chemical_group"))
+    g = g.filter("compound_id IS NOT NULL AND chemical_group IS NOT NULL").distinct()
+    return P.leakage_audit(_chemical(spark, sf, ROLES).join(g, "compound_id", "left"), ["parent", "scaffold", "chemical_group"], [])
 
 
 def _runs(spark: S, sf: str) -> DataFrame:

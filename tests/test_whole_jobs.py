@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pytest
 
+from assaymill.functions.ids import loose_id, strict_id
 from assaymill.plans import base as B, evaluation as V, modelling as Q
 from assaymill.session import table
 from tests.oracle import SF
@@ -67,3 +68,29 @@ def test_bootstrap_forest_and_factorisation_run_at_full_size(spark, monkeypatch)
         with pytest.raises(Seen):
             query(spark, SF)
     assert len(asked) == 5 and all(v == full[n] for n, v in asked)
+
+
+def test_audits_count_all_three_roles_and_chemical_groups(spark):
+    def divided(rows, key):
+        roles = {}
+        for r in rows:
+            if r[key] is not None:
+                roles.setdefault(r[key], set()).add(r["role"])
+        return sum(len(v) > 1 for v in roles.values())
+
+    recorded = Q._recorded(spark, SF, ("train", "validation", "test")).collect()
+    assert {r["role"] for r in recorded} == {"train", "validation", "test"}
+    got = {r["check"]: r["n_violations"] for r in Q.q03_leakage_audit_all_roles(spark, SF).collect()}
+    assert got == {f"{k}_isolated": divided(recorded, k) for k in ("sample_id", "pair", "cell_id", "compound_id")}
+    two = {r["check"]: r["n_violations"] for r in Q.q03_leakage_audit(spark, SF).collect()}
+    assert any(got[k] > two[k] for k in two)
+
+    groups = {}
+    for r in table(spark, SF, "drug_group_assignment").select(strict_id("compound_id").alias("c"), loose_id("chemical_group_id").alias("g")).collect():
+        if r["c"] and r["g"]:
+            groups.setdefault(r["c"], set()).add(r["g"])
+    chemical = Q._chemical(spark, SF, ("train", "validation", "test")).collect()
+    in_groups = [{"chemical_group": g, "role": r["role"]} for r in chemical for g in groups.get(r["compound_id"], ())]
+    got = {r["check"]: r["n_violations"] for r in Q.q06_chemical_isolation_all_roles(spark, SF).collect()}
+    assert got == {"parent_isolated": divided(chemical, "parent"), "scaffold_isolated": divided(chemical, "scaffold"), "chemical_group_isolated": divided(in_groups, "chemical_group")}
+    assert got["chemical_group_isolated"] > 0
