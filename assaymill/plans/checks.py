@@ -148,7 +148,7 @@ def q17_recomputed_metrics(spark: S, sf: str) -> DataFrame:
 
 def q23_alignment_smoke(spark: S, sf: str) -> DataFrame:
     """Pair features of training and test pairs: rows, width, non-finite values."""
-    f = D.f15_pair_features(spark, sf)
+    f = D.f15_pair_features(spark, sf, 4)  # the width of its SQL twin
     bad = F.size(F.filter("features", lambda x: ~X.is_finite(x)))
     return f.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).cast("bigint").alias("width"), F.sum(bad).alias("n_bad"))
 
