@@ -37,12 +37,12 @@ def test_hot_key_takes_either_path_with_equal_results(spark, broadcast_rows):
     master = [("CL1", T(2024, 2, 1), T(2024, 3, 1)), *[(f"CL{i}", T(2024, 1, 1), None) for i in range(2, 40, 2)]]
     j = made(spark, facts, master, heavy_share=0.1)
     assert rows(j.heavy.select("id")) == [("CL1",)]
-    got = {r["row_id"] for r in O.dangling_rows(j, broadcast_rows).collect()}
+    got = {r["row_id"] for r in O.dangling_rows(j, broadcast_rows=broadcast_rows).collect()}
     assert got == {f"s{i}" for i in range(300) if i % 3 != 1} | {f"t{i}" for i in range(3, 40, 2)}
     assert O.dangling_counts(j, broadcast_rows).agg(F.sum("n_dangling")).first()[0] == len(got)
 
 
 def test_empty_tables(spark):
-    assert made(spark, [], []).n_bad == 0
+    assert made(spark, [], []).judged.count() == 0
     assert O.dangling_rows(made(spark, [], [("CL1", T(2024, 1, 1), None)])).count() == 0
     assert rows(O.dangling_rows(made(spark, [("a", "CL1", T(2024, 1, 1))], [])).select("row_id")) == [("a",)]
