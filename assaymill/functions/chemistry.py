@@ -12,8 +12,10 @@ try:
 except ImportError:
     Chem = None
 
-#: A fragment of these is a counter-ion or solvent rather than the parent.
-METALS = frozenset("Li Na K Mg Ca Zn Fe Pt Pd Au Ag Cu Ru Ir Al".split())
+#: A structure with an atom of these is a metal complex, whatever its fragments.
+METALS = frozenset(
+    "Pt Pd Ni Co Cu Zn Fe Mn Cr Ti V Ru Rh Ir Os Mo W Re Au Ag Hg Cd Pb Al Ga In Sn Sb Bi Zr Hf Ta Nb Y La Ce Gd Lu Yb Er Eu Sm Tb Ho Dy Tm Pr Nd".split()
+)
 
 
 def available() -> bool:
@@ -36,6 +38,14 @@ def has_counter_ion(smiles: Column | str) -> Column:
     return F.instr(smiles, ".") > 0
 
 
+def text_salt_class(smiles: Column | str) -> Column:
+    """single, salt_or_solvate or metal_complex from the text alone, with no toolkit: metals are always written in brackets, fragments are parted by dots."""
+    c = F.col(smiles) if isinstance(smiles, str) else smiles
+    marks = F.regexp_extract_all(c, F.lit(r"\[[0-9]*([A-Z][a-z]?)[^\]]*\]"), F.lit(1))
+    metal = F.exists(marks, lambda a: a.isin(*sorted(METALS)))
+    return F.when(metal, "metal_complex").when(F.instr(c, ".") > 0, "salt_or_solvate").when(c.isNotNull(), "single")
+
+
 def standardise():
     """Pandas UDF: canonical isomeric SMILES of the fragment with the most heavy atoms."""
     _need()
@@ -93,7 +103,7 @@ def salt_class():
             m = Chem.MolFromSmiles(x) if x else None
             if m is None:
                 return None
-            if any(a.GetSymbol() in METALS for a in max(Chem.GetMolFrags(m, asMols=True), key=lambda f: f.GetNumAtoms()).GetAtoms()):
+            if METALS & {a.GetSymbol() for a in m.GetAtoms()}:
                 return "metal_complex"
             return "salt_or_solvate" if len(Chem.GetMolFrags(m)) > 1 else "single"
 

@@ -32,7 +32,8 @@ def k_core(edges: DataFrame, a: str, b: str, min_b_per_a: int, min_a_per_b: int,
 def rewire(members: list[tuple[str, str]], seed: int, swaps_per_edge: int = 20, tries_per_swap: int = 10) -> list[tuple[str, str]]:
     """Double edge swaps of a set-member graph: every set keeps its size, every member its number of sets.
 
-    Inherently sequential, for set collections of some thousands of edges; the result is distributed as a DataFrame by the caller.
+    Each step draws two edges and exchanges their members where that makes two new edges. The chain is sequential by definition, for
+    set collections of some thousands of edges; the caller distributes the result. A graph that allows no swap raises.
     """
     edges = sorted(set(members))
     have = set(edges)
@@ -49,6 +50,8 @@ def rewire(members: list[tuple[str, str]], seed: int, swaps_per_edge: int = 20,
         have |= {(s, y), (t, x)}
         edges[i], edges[j] = (s, y), (t, x)
         done += 1
+    if not done:
+        raise ValueError("no two edges of this graph can be swapped")
     return sorted(have)
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assaymill.operators.ranks import top_k
 
@@ -95,44 +97,106 @@ def factorisation(train: DataFrame, factors: int = 16, seed: int = 42, steps: in
     return FMRegressor(factorSize=factors, maxIter=steps, stepSize=0.05, seed=seed).fit(rows)
 
 
-def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float, l1_ratio: float, rounds: int = 3000, tol: float = 1e-8) -> tuple[np.ndarray, float]:
-    """Coordinate descent on centred data."""
-    xm, ym = x.mean(0), float(y.mean())
-    x, r = x - xm, y - ym
-    n, w = len(y), np.zeros(x.shape[1])
-    sq = (x * x).sum(0) / n
+def elastic_net(gram: np.ndarray, xy: np.ndarray, alpha: float, l1_ratio: float, rounds: int = 3000, tol: float = 1e-8) -> np.ndarray:
+    """Coordinate descent on the moments of centred data: ``gram`` = X'X / n, ``xy`` = X'y / n."""
+    w = np.zeros(len(xy))
+    sq = np.diag(gram)
     for _ in range(rounds):
         biggest = 0.0
-        for j in np.flatnonzero(sq > 0):
-            old = w[j]
-            rho = x[:, j] @ r / n + sq[j] * old
-            w[j] = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0) / (sq[j] + alpha * (1 - l1_ratio))
-            if w[j] != old:
-                r = r - x[:, j] * (w[j] - old)
-                biggest = max(biggest, abs(w[j] - old))
+        for j in np.flatnonzero(sq > 1e-15):
+            rho = xy[j] - gram[j] @ w + sq[j] * w[j]
+            new = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0) / (sq[j] + alpha * (1 - l1_ratio))
+            biggest = max(biggest, abs(new - w[j]))
+            w[j] = new
         if biggest < tol:
             break
-    return w, ym - float(xm @ w)
+    return w
 
 
-def per_group_elastic_net(train: DataFrame, query: DataFrame, group: str, alpha: float, l1_ratio: float, least: int = 30) -> DataFrame:
-    """query (sample_id, group, features) with y_pred: an elastic net per group; groups with fewer than ``least`` rows or a constant label use their mean."""
-
-    def fit(key, t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(q):
-            return pd.DataFrame({"sample_id": pd.Series([], dtype=str), "y_pred": pd.Series([], dtype=float)})
-        y = t["y"].to_numpy(float)
-        if len(y) < least or np.ptp(y) == 0:
-            p = np.full(len(q), y.mean() if len(y) else np.nan)
+def group_moments(rows: DataFrame, group: str, features: str = "features", y: str = "y", held: int = 500) -> DataFrame:
+    """(group, n, m): sums of the outer products of (1, features, y) per group, as the bytes of a float64 matrix, in several partial rows.
+
+    Each partition adds up what it sees and passes on at most ``held`` groups at a time: rows of a hot group are never gathered. Rows with a missing
+    group, label or vector are left out; vectors of one group have one length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            r = pa.RecordBatch.from_arrays([pa.array(list(sums), arrow), pa.array([int(round(m[0, 0])) for m in sums.values()], pa.int64()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], [group, "n", "m"])
+            sums.clear()
+            return r
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(0).dictionary_encode()
+            lists, label = b.column(1), b.column(2).to_numpy(zero_copy_only=False)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            which, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            order = np.argsort(which, kind="stable")
+            for rows_ in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+                x = np.stack([flat[at[i] : at[i + 1]] for i in rows_])
+                z = np.concatenate([np.ones((len(x), 1)), x, label[rows_, None]], 1)
+                g = names[which[rows_[0]]]
+                sums[g] = sums[g] + z.T @ z if g in sums else z.T @ z
+            if len(sums) >= held:
+                yield out()
+        if sums:
+            yield out()
+
+    arrow = to_arrow_type(rows.schema[group].dataType)
+    src = rows.select(group, F.col(features).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y")).filter(F.col(group).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    return src.mapInArrow(run, f"{group} {rows.schema[group].dataType.simpleString()}, n bigint, m binary")
+
+
+def group_linear(train: DataFrame, group: str, alpha: float, l1_ratio: float | None, least: int = 30) -> DataFrame:
+    """(group, n, coef, intercept): a linear model per group, solved from its moments; ridge (``l1_ratio`` None) or elastic net.
+
+    A group with fewer than ``least`` rows or a constant label has no coefficients and its mean as intercept.
+    """
+    kind, arrow = train.schema[group].dataType.simpleString(), to_arrow_type(train.schema[group].dataType)
+
+    def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        d = math.isqrt(len(t.column("m")[0].as_py()) // 8)
+        m = sum(np.frombuffer(x, np.float64).reshape(d, d) for x in t.column("m").to_pylist())
+        n = m[0, 0]
+        mean = m[0] / n
+        cov = m / n - np.outer(mean, mean)
+        if n < least or cov[-1, -1] <= 1e-12 * max(1.0, mean[-1] ** 2):
+            coef, intercept = [], float(mean[-1])
         else:
-            w, b = elastic_net(np.stack(t["features"]), y, alpha, l1_ratio)
-            p = np.stack(q["features"]) @ w + b
-        return pd.DataFrame({"sample_id": q["sample_id"], "y_pred": p})
-
-    t, q = train.select(group, "y", "features"), query.select("sample_id", group, "features")
-    found = t.groupBy(group).cogroup(q.groupBy(group)).applyInPandas(fit, "sample_id string, y_pred double")
-    g = F.broadcast(train.agg(F.avg("y").alias("_g")))
-    return query.join(found, "sample_id", "left").crossJoin(g).withColumn("y_pred", F.coalesce(F.nanvl("y_pred", F.lit(None).cast("double")), "_g")).drop("_g")
+            g, xy = cov[1:-1, 1:-1], cov[1:-1, -1]
+            w = np.linalg.solve(g + alpha / n * np.eye(d - 2), xy) if l1_ratio is None else elastic_net(g, xy, alpha, l1_ratio)
+            coef, intercept = w.tolist(), float(mean[-1] - mean[1:-1] @ w)
+        return pa.table({group: pa.array([key[0].as_py()], arrow), "n": pa.array([int(n)], pa.int64()), "coef": pa.array([coef], pa.list_(pa.float64())), "intercept": pa.array([intercept], pa.float64())})
+
+    return group_moments(train, group).groupBy(group).applyInArrow(solve, f"{group} {kind}, n bigint, coef array<double>, intercept double")
+
+
+def group_predict(model: DataFrame, query: DataFrame, group: str, contributions: bool = False) -> DataFrame:
+    """query with y_pred (and ``base`` and the signed ``contributions`` of its features, which sum to it); NULL for a group without a model."""
+    met = query.join(model.select(group, "coef", "intercept"), group, "left")
+    parts = F.when(F.size("coef") > 0, F.zip_with(F.col("features").cast("array<double>"), "coef", lambda x, w: x * w)).otherwise(F.transform("features", lambda x: F.lit(0.0)))
+    out = met.withColumn("contributions", parts).withColumn("y_pred", F.col("intercept") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x))
+    return out.withColumnRenamed("intercept", "base").drop("coef") if contributions else out.drop("coef", "intercept", "contributions")
+
+
+def per_group_elastic_net(train: DataFrame, query: DataFrame, group: str, alpha: float, l1_ratio: float, least: int = 30) -> DataFrame:
+    """query with y_pred: an elastic net per group; groups with fewer than ``least`` rows or a constant label use their mean, unknown groups the global mean."""
+    g = F.broadcast(train.agg(F.avg("y").alias("_g")))  # one row
+    p = group_predict(group_linear(train, group, alpha, l1_ratio, least), query, group)
+    return p.crossJoin(g).withColumn("y_pred", F.coalesce("y_pred", "_g")).drop("_g")
+
+
+def pathway_additive(train: DataFrame, query: DataFrame, group: str, alpha: float = 1.0) -> DataFrame:
+    """query with base, contributions and y_pred: a compound's main effect plus, per set score of the cell, the compound's own coefficient times the score.
+
+    The additive model of set scores with signed contributions, its coefficients fitted in closed form per compound (ridge) instead of by gradient
+    descent through an encoder of the structure: a compound that was not trained has no row of coefficients and a NULL prediction.
+    """
+    return group_predict(group_linear(train, group, alpha, None, least=2), query, group, contributions=True)
 
 
 #: The parameter grids of the model families.

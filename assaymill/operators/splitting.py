@@ -1,131 +1,102 @@
 """Hold-outs, folds, pair hold-outs, inner splits and their leakage audit.
 
-Group-level choices are drawn by a seeded generator on the driver over group tables (one row per group, never per sample) and joined back; the
-pair hold-out, whose units are as many as samples, is drawn by hash order in the cluster.
+Every draw is a seeded hash order (``draw_order``) with running sums or numbers over ranges of it (``ranks.preceding``): nothing is collected and no task sees
+all groups, units or samples of a stratum. The draws are those of MD5, so that any engine can repeat them.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assaymill.operators.ranks import preceding
+
+
+def draw_order(seed: int, *cols: Column | str) -> Column:
+    """Seeded order of keys, the same in any engine: the MD5 of the seed and the key's parts joined by ``|``."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c for c in cols]).cast("binary"))
+
 
 def group_table(df: DataFrame, group: str, stratum: str, member: str) -> DataFrame:
     """(g, stratum, size, n_strata): a group's stratum is that of its smallest member; the size counts members."""
     return df.groupBy(F.col(group).alias("g")).agg(
-        F.min_by(stratum, member).alias("stratum"), F.countDistinct(member).alias("size"), F.countDistinct(stratum).alias("n_strata"), F.min(member).alias("first")
+        F.min_by(stratum, member).alias("stratum"), F.countDistinct(member).alias("size"), F.countDistinct(stratum).alias("n_strata")
     )
 
 
-def choose_hold_out(groups: list[tuple[str, str, int, str]], ratio: float, seed: int, members: dict[str, int] | None = None) -> set[str]:
-    """Groups (g, stratum, size, first member) to hold out, about ``ratio`` of the members of every stratum.
+def hold_out(df: DataFrame, group: str, stratum: str, member: str, ratio: float = 0.15, seed: int = 20260923) -> DataFrame:
+    """(member, group, region): region ``hold`` or ``dev`` per member; whole groups only.
 
-    ``members`` counts all members of a stratum, those in mixed groups included; without it the groups' sizes count. Strata are taken in the order of their first member. A group joins while the stratum stays below its target by no more than half its largest group; a
-    stratum called MIXED (groups over several strata) fills a rounded target of at least one member.
+    The groups of a stratum stand in seeded order on a line, each as long as it has members. A group is held while the middle of its stretch lies below the
+    target, so what is held misses the target by no more than half a group. Groups over several strata form the stratum MIXED, whose target is
+    rounded and at least 1; the members they hold count for the targets of their own strata too. The line is summed in ranges: no task sees a stratum.
+    A missing group or stratum is a value of its own.
     """
-    rng = np.random.default_rng(seed)
-    strata: dict[str, list[tuple[str, str, int, str]]] = {}
-    for g in sorted(groups, key=lambda g: g[3]):
-        strata.setdefault(g[1], []).append(g)
-    held: set[str] = set()
-    for name, gs in strata.items():
-        order = sorted(gs, key=lambda g: (-g[2], g[0]))
-        rng.shuffle(order)
-        total, top, got = sum(g[2] for g in gs), max(g[2] for g in gs), 0
-        target = max(1, round(ratio * total)) if name == "MIXED" else ratio * (members or {}).get(name, total)
-        for g in order:
-            size = int(g[2])
-            if name == "MIXED" or got + size <= target + 0.5 * top:
-                held.add(str(g[0]))
-                got += size
-            if got >= target:
-                break
-    return held
-
-
-def hold_out(df: DataFrame, group: str, stratum: str, member: str, ratio: float = 0.15, seed: int = 20260923) -> DataFrame:
-    """(member, group, region): region ``hold`` or ``dev`` per member; whole groups only."""
     t = group_table(df, group, stratum, member)
-    rows = [(r["g"], "MIXED" if r["n_strata"] > 1 else r["stratum"] or "", r["size"], r["first"]) for r in t.collect()]
-    per = df.groupBy(member).agg(F.max(stratum).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    held = choose_hold_out(rows, ratio, seed, {r["s"] or "": r["n"] for r in per.collect()})
-    chosen = df.sparkSession.createDataFrame([(g,) for g in sorted(held)], f"{group} string").withColumn("_h", F.lit(1))
-    return df.select(member, group).distinct().join(chosen, group, "left").select(member, group, F.when(F.col("_h") == 1, "hold").otherwise("dev").alias("region"))
-
-
-def deal_folds(groups: list[tuple[str, str, int]], n: int, seed: int) -> dict[str, int]:
-    """Fold per group: within each stratum the shuffled groups are dealt round robin, starting with the folds that are emptiest by then."""
-    rng = np.random.default_rng(seed)
-    load, fold = [0] * n, {}
-    for stratum in sorted({s for _, s, _ in groups}):
-        gs = sorted(((g, c) for g, s, c in groups if s == stratum), key=lambda x: (-x[1], x[0]))
-        rng.shuffle(gs)
-        turn = sorted(range(n), key=lambda f: load[f])
-        for i, (g, c) in enumerate(gs):
-            f = turn[i % n]
-            fold[g] = f
-            load[f] += c
-    return fold
+    t = t.withColumn("_s", F.when(F.col("n_strata") > 1, "MIXED").otherwise(F.coalesce("stratum", F.lit("")))).withColumn("_h", draw_order(seed, F.coalesce("g", F.lit(""))))
+    own = df.groupBy(member).agg(F.coalesce(F.max(stratum), F.lit("")).alias("_s")).groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = t.groupBy("_s").agg(F.sum("size").alias("_m"))
+    target = F.when(F.col("_s") == "MIXED", F.greatest(F.lit(1.0), F.bround(F.col("_m") * ratio))).otherwise(F.col("_n") * ratio)
+    goals = mixed.join(own, "_s", "left").select("_s", target.alias("_target"))
+    placed = preceding(t, ["_s"], ["_h"], "size", "_before").join(goals, "_s")
+    held = placed.filter(F.col("_before") + F.col("size") / 2 < F.col("_target")).select(F.col("g").alias("_g"), F.lit(1).alias("_held"))
+    members = df.select(member, group).distinct()
+    return members.join(held, members[group].eqNullSafe(held["_g"]), "left").select(member, group, F.when(F.col("_held") == 1, "hold").otherwise("dev").alias("region"))
+
+
+def dealt_folds(groups: DataFrame, n: int, seed: int) -> DataFrame:
+    """(g, s, c, test_fold) for groups (g, s, c): within each stratum the groups in seeded order are dealt round robin; a stratum starts where the ones before
+    it (by name) left off, so that the folds' numbers of groups differ by one at most, within a stratum and over all."""
+    ranked = preceding(groups.withColumn("_h", draw_order(seed, "g")), ["s"], ["_h"], None, "_r")
+    starts = groups.groupBy("s").agg(F.count(F.lit(1)).alias("_n"))
+    starts = preceding(starts, [], ["s"], "_n", "_first").select(F.col("s").alias("_s"), "_first")
+    met = ranked.join(starts, ranked["s"].eqNullSafe(starts["_s"]))
+    return met.select("g", "s", "c", F.pmod(F.col("_r") + F.col("_first"), F.lit(n)).cast("int").alias("test_fold"))
 
 
 def group_folds(df: DataFrame, group: str, stratum: str, sample: str = "sample_id", n: int = 5, seed: int = 42) -> DataFrame:
-    """(sample, group, fold, role) in long form: every sample once per fold, ``test`` where its group lies in the fold."""
-    t = df.groupBy(F.col(group).alias("g")).agg(F.min_by(stratum, sample).alias("s"), F.count(F.lit(1)).alias("c"))
-    dealt = deal_folds([(r["g"], r["s"] or "", r["c"]) for r in t.collect() if r["g"] is not None], n, seed)
-    plan = df.sparkSession.createDataFrame(sorted(dealt.items()), f"{group} string, test_fold int")
+    """(sample, group, fold, role) in long form: every sample once per fold, ``test`` where its group lies in the fold; samples without a group are left out."""
+    t = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.coalesce(F.min_by(stratum, sample), F.lit("")).alias("s"), F.count(F.lit(1)).alias("c"))
+    plan = dealt_folds(t, n, seed).select(F.col("g").alias(group), "test_fold")
     return (
         df.select(sample, group).join(plan, group).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .select(sample, group, "fold", F.when(F.col("fold") == F.col("test_fold"), "test").otherwise("train").alias("role"))
     )
 
 
-def pair_hold_out(df: DataFrame, pair: list[str], share: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with role: the ``floor(share n)`` distinct pairs that come first in seeded hash order are test.
+def first_keys(keys: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The ``k`` first of unique keys, without gathering them: whole ranges of the order, and of the range that holds the cut the rest by number."""
+    o = [f"_o{i}" for i in range(len(order))]
+    ranked = preceding(keys.withColumns(dict(zip(o, order))), [], o, None, "_b")
+    return ranked.filter(F.col("_b") < k).select(*keys.columns)
 
-    The cut-off hash is found from counts per hash range, so no global sort and no single task orders all pairs.
-    """
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in pair])
-    pairs = df.select(*pair).distinct().withColumn("_h", h)
-    range_of = F.shiftright("_h", 48)
-    counts = pairs.groupBy(range_of.alias("r")).agg(F.count(F.lit(1)).alias("n")).orderBy("r").collect()  # at most 65,536 rows
-    want, seen, cut = int(share * sum(r["n"] for r in counts)), 0, None
-    for r in counts:
-        if seen + r["n"] > want:
-            cut = r["r"]
-            break
-        seen += r["n"]
-    if cut is None:
-        first = pairs.select(*pair)
-    else:
-        edge = pairs.filter(range_of == cut).orderBy("_h", *pair).limit(want - seen).select(*pair)  # within one range
-        first = pairs.filter(range_of < cut).select(*pair).unionByName(edge)
+
+def pair_hold_out(df: DataFrame, pair: list[str], share: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with role: the ``floor(share n)`` distinct pairs that come first in seeded order are test."""
+    pairs = df.select(*pair).distinct()
+    first = first_keys(pairs, [draw_order(seed, *pair), *map(F.col, pair)], int(share * pairs.count()))
     return df.join(first.withColumn("_t", F.lit(1)), pair, "left").withColumn("role", F.when(F.col("_t") == 1, "test").otherwise("train")).drop("_t")
 
 
 def inner_split(df: DataFrame, unit: list[str], share: float = 0.2, seed: int = 20260934) -> DataFrame:
-    """df with side ``validation`` for ``max(1, round(share n))`` units by seeded hash rank, else ``train``; labels play no part."""
+    """df with side ``validation`` for ``max(1, round(share n))`` units by seeded order, else ``train``; labels play no part."""
     units = df.select(*unit).distinct()
-    n = units.count()
-    k = max(1, round(share * n))
-    chosen = units.orderBy(F.xxhash64(F.lit(seed), *unit), *unit).limit(k).withColumn("_v", F.lit(1))
+    chosen = first_keys(units, [draw_order(seed, *unit), *map(F.col, unit)], max(1, round(share * units.count()))).withColumn("_v", F.lit(1))
     return df.join(chosen, unit, "left").withColumn("side", F.when(F.col("_v") == 1, "validation").otherwise("train")).drop("_v")
 
 
 def permute_labels(df: DataFrame, group: str, sample: str, y: str, seed: int = 42) -> DataFrame:
-    """df with y permuted within each group: the label of rank i goes to the sample of random rank i; group means stay."""
-    from pyspark.sql import Window
-
-    a = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(sample)))
-    b = df.select(F.col(group), F.col(y).alias("_y"), F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), sample), sample)).alias("_r"))
-    return a.join(b, [group, "_r"]).drop("_r", y).withColumnRenamed("_y", y)
+    """df with y permuted within each group: the label of seeded rank i goes to the i-th sample; group means stay. Samples are unique."""
+    a = preceding(df, [group], [sample], None, "_r")
+    b = preceding(df.select(F.col(group).alias("_g"), F.col(y).alias("_y"), draw_order(seed, sample).alias("_h"), F.col(sample).alias("_s")), ["_g"], ["_h", "_s"], None, "_q")
+    return a.join(b, a[group].eqNullSafe(b["_g"]) & (a["_r"] == b["_q"])).drop("_r", "_q", "_g", "_h", "_s", y).withColumnRenamed("_y", y)
 
 
 def first_entities(df: DataFrame, entity: str, share: float) -> DataFrame:
     """Rows of the first ``max(2, round(share n))`` entities in lexicographic order (round half to even)."""
     units = df.select(entity).distinct()
-    return df.join(units.orderBy(entity).limit(max(2, round(share * units.count()))), entity, "left_semi")
+    return df.join(first_keys(units, [F.col(entity)], max(2, round(share * units.count()))), entity, "left_semi")
 
 
 def quadrant(cell_region: str = "cell_region", drug_region: str = "drug_region") -> Column:

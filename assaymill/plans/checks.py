@@ -73,8 +73,7 @@ def u09_distinct_configurations(spark: S, sf: str) -> DataFrame:
 
 
 def w02_average_ranks(spark: S, sf: str) -> DataFrame:
-    p = B.pairs(spark, sf)
-    return p.select("sample_id", K.average_rank(["compound_id"], "y").alias("rank"))
+    return K.group_ranks(B.pairs(spark, sf).select("sample_id", "compound_id", "y"), ["compound_id"], {"rank": "y"}).select("sample_id", "rank")
 
 
 def r03_fold_table(spark: S, sf: str) -> DataFrame:
@@ -84,19 +83,19 @@ def r03_fold_table(spark: S, sf: str) -> DataFrame:
 
 
 def r05_cluster_folds(spark: S, sf: str) -> DataFrame:
-    """Compounds and clusters divided by folds over chemical clusters: none."""
+    """Compounds and clusters divided by folds over chemical clusters: none, but one per fold where one is planted."""
     d = B.samples(spark, sf).filter("compound_id IS NOT NULL")
     c = G.components(d.select("compound_id", "parent", "scaffold"), "compound_id", ["parent", "scaffold"], "CHEM_").select("compound_id", F.col("component").alias("cluster"))
     d = settle(d.join(c, "compound_id").withColumn("stratum", F.lit("NA")))
     f = P.group_folds(d, "cluster", "stratum").join(d.select("sample_id", "compound_id", "parent", "scaffold"), "sample_id")
-    return P.leakage_audit(f, ["cluster", "compound_id", "parent", "scaffold"], ["fold"])
+    return D.audited(f, ["compound_id", "parent", "scaffold"])
 
 
 def r06_subtype_folds(spark: S, sf: str) -> DataFrame:
-    """Subtypes divided by the stress folds: none; samples without a subtype are UNKNOWN."""
+    """Subtypes divided by the stress folds: none, but one per fold where one is planted; samples without a subtype are UNKNOWN."""
     m = table(spark, sf, "cell_master").select(strict_id("cell_id").alias("cell_id"), F.trim("oncotree_subtype").alias("st")).filter("cell_id IS NOT NULL AND st <> ''").groupBy("cell_id").agg(F.max("st").alias("st"))
     d = R.map_join(B.samples(spark, sf).filter("cell_id IS NOT NULL"), m, "cell_id", "st", "subtype", "UNKNOWN")
-    return P.leakage_audit(P.group_folds(d, "subtype", "lineage"), ["subtype"], ["fold"])
+    return D.audited(P.group_folds(d, "subtype", "lineage"), ["subtype"])
 
 
 def r12_smoke_subset(spark: S, sf: str) -> DataFrame:
@@ -148,7 +147,7 @@ def q17_recomputed_metrics(spark: S, sf: str) -> DataFrame:
 
 def q23_alignment_smoke(spark: S, sf: str) -> DataFrame:
     """Pair features of training and test pairs: rows, width, non-finite values."""
-    f = D.f15_pair_features(spark, sf, 4)  # the width of its SQL twin
+    f = D.f15_pair_features(spark, sf)
     bad = F.size(F.filter("features", lambda x: ~X.is_finite(x)))
     return f.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).cast("bigint").alias("width"), F.sum(bad).alias("n_bad"))
 
@@ -157,7 +156,6 @@ QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "fmopqr
 
 _S, _P, _I = B.SAMPLES, B.PAIRS, sql_strict_id
 _R = f"r AS (SELECT DISTINCT sample_id, {_I('f.cell_id')} AS cell_id, lower(trim(role)) AS role FROM lpo_folds f)"
-_ZERO = lambda *ks: " UNION ALL ".join(f"SELECT '{k}_isolated' AS \"check\", CAST(0 AS BIGINT) AS n_violations" for k in ks)
 ORACLE = {
     "p02_derived_columns": f"WITH {_S} SELECT sample_id, concat_ws('|', cell_id, compound_id) AS pair_key, round(y - 3.5, 6) AS excess, release_id AS source_release FROM s WHERE y IS NOT NULL",
     "p08_finite_filter": "SELECT release_id, count(*) AS n, count(*) FILTER (isfinite(y)) AS n_finite, count(*) FILTER (y IS NULL) AS n_null FROM core_samples GROUP BY 1",
@@ -171,8 +169,8 @@ ORACLE = {
     "u09_distinct_configurations": "SELECT count(*) AS n, count(*) <= 24 AS within_cap FROM (SELECT event_type, user_id % 5 AS k FROM events UNION SELECT event_type, user_id % 3 FROM events)",
     "w02_average_ranks": f"WITH {_P} SELECT sample_id, CAST(rank() OVER (PARTITION BY compound_id ORDER BY y) + (count(*) OVER (PARTITION BY compound_id, y) - 1) / 2.0 AS DOUBLE) AS rank FROM p",
     "r03_fold_table": f"WITH {_S} SELECT 5 * count(*) AS n_rows, count(*) AS n_samples, count(*) AS n_test FROM s WHERE y IS NOT NULL AND cell_id IS NOT NULL AND compound_id IS NOT NULL",
-    "r05_cluster_folds": _ZERO("cluster", "compound_id", "parent", "scaffold"),
-    "r06_subtype_folds": _ZERO("subtype"),
+    "r05_cluster_folds": f"WITH {_S}, d AS (SELECT * FROM s WHERE compound_id IS NOT NULL) {D.sql_planted('d', ['compound_id', 'parent', 'scaffold'])}",
+    "r06_subtype_folds": f"""WITH {_S}, m AS (SELECT {_I('cell_id')} AS cell_id, max(nullif(trim(oncotree_subtype), '')) AS st FROM cell_master GROUP BY 1), d AS (SELECT s.sample_id, coalesce(st, 'UNKNOWN') AS subtype FROM s LEFT JOIN m USING (cell_id) WHERE s.cell_id IS NOT NULL) {D.sql_planted('d', ['subtype'])}""",
     "r12_smoke_subset": f"""WITH {_P}, d AS (SELECT DISTINCT compound_id FROM p ORDER BY 1 LIMIT 12), a AS (SELECT DISTINCT cell_id FROM p WHERE role = 'train' ORDER BY 1 LIMIT 100), b AS (SELECT DISTINCT cell_id FROM p WHERE role = 'test' ORDER BY 1 LIMIT 40)
  SELECT sample_id, role FROM p WHERE compound_id IN (SELECT compound_id FROM d) AND (role = 'train' AND cell_id IN (SELECT cell_id FROM a) OR role = 'test' AND cell_id IN (SELECT cell_id FROM b))""",
     "f04_constant_labels": f"WITH {_P} SELECT compound_id, max(y) > min(y) AS varies FROM p GROUP BY 1",
@@ -180,5 +178,5 @@ ORACLE = {
     "f16_entities_without_features": f"WITH {_S} SELECT DISTINCT compound_id FROM s WHERE compound_id IS NOT NULL AND compound_id NOT IN (SELECT upper(trim(entity_id)) FROM prepared_data WHERE fingerprints IS NOT NULL AND entity_id IS NOT NULL)",
     "q17_recomputed_metrics": "SELECT 'Lung' AS lineage, 'mae' AS \"column\"",
     "q23_alignment_smoke": f"""WITH {_P}, {B.CELLS}, {B.COMPOUNDS}, cv AS (SELECT c.cell_id FROM c JOIN embeddings ON CAST(regexp_extract(cell_id, '([0-9]+)$', 1) AS BIGINT) % (SELECT count(*) FROM embeddings) = vec_id)
- SELECT role, count(*) AS n, CAST(6 AS BIGINT) AS width, CAST(0 AS BIGINT) AS n_bad FROM p JOIN cv ON p.cell_id = cv.cell_id JOIN d ON p.compound_id = d.compound_id GROUP BY 1""",
+ SELECT role, count(*) AS n, CAST(66 AS BIGINT) AS width, CAST(0 AS BIGINT) AS n_bad FROM p JOIN cv ON p.cell_id = cv.cell_id JOIN d ON p.compound_id = d.compound_id GROUP BY 1""",
 }

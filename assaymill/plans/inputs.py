@@ -174,6 +174,12 @@ def f06_salt_screen(spark: S, sf: str) -> DataFrame:
     return d.select("compound_id", C.has_counter_ion("smiles").alias("has_counter_ion"), F.instr(C.largest_fragment("smiles"), ".").cast("bigint").alias("dots_left"))
 
 
+def f07_salt_class(spark: S, sf: str) -> DataFrame:
+    """Compounds' structures by the text rules: metals in brackets, fragments parted by dots."""
+    d = B.compounds(spark, sf).filter("smiles IS NOT NULL")
+    return d.select("compound_id", C.text_salt_class("smiles").alias("salt_class"))
+
+
 def v01_windowed_events(spark: S, sf: str) -> DataFrame:
     """Extension: counts and sums per type and hour by a stream over the event files that ends when they are read."""
     return V.windowed(spark, f"{sf}/events.parquet", _path(spark, "stream"))
@@ -212,6 +218,7 @@ ORACLE = {
     "x21_bit_similarity": "WITH b AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), o AS (SELECT vec_id, i FROM b WHERE x > 0.5), n AS (SELECT e.vec_id, count(o.i) AS n FROM embeddings e LEFT JOIN o USING (vec_id) GROUP BY 1), k AS (SELECT a.vec_id AS v, count(*) AS k FROM o a JOIN o c ON c.vec_id = a.vec_id + 1 AND a.i = c.i GROUP BY 1) SELECT p.vec_id AS v1, round(coalesce(coalesce(k, 0) / nullif(p.n + q.n - coalesce(k, 0), 0), 0), 6) AS tanimoto FROM n p JOIN n q ON q.vec_id = p.vec_id + 1 LEFT JOIN k ON k.v = p.vec_id",
     "x22_json_functions": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',\"ok\":true}' AS again FROM events",
     "f06_salt_screen": f"WITH {B.COMPOUNDS} SELECT compound_id, smiles LIKE '%.%' AS has_counter_ion, CAST(0 AS BIGINT) AS dots_left FROM d WHERE smiles IS NOT NULL",
+    "f07_salt_class": f"""WITH {B.COMPOUNDS} SELECT compound_id, CASE WHEN regexp_matches(smiles, '\\[[0-9]*({'|'.join(sorted(C.METALS))})([^a-z][^\\]]*)?\\]') THEN 'metal_complex' WHEN smiles LIKE '%.%' THEN 'salt_or_solvate' ELSE 'single' END AS salt_class FROM d WHERE smiles IS NOT NULL""",
     "v01_windowed_events": "SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "v02_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
  SELECT user_id, min(ts) AS started, count(*) AS n FROM k GROUP BY user_id, s""",

@@ -100,6 +100,25 @@ def test_global_average_rank_and_dense_order(spark):
     assert [r["n"] for r in K.dense_order(keys, "k", "n").orderBy("k").collect()] == list(range(1, 51))
 
 
+def test_numbers_stay_gapless_with_payload_over_many_ranges(spark):
+    n = 3_000_000
+    d = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.concat(F.lit("payload "), F.col("id").cast("string")).alias("v"), F.rand(3).alias("x"))
+    got = K.dense_order(d, "k", "n").agg(F.countDistinct("n").alias("u"), F.max("n").alias("m"), F.count_if(F.col("n") != F.col("k") + 1).alias("wrong")).first()
+    assert (got["u"], got["m"], got["wrong"]) == (n, n, 0)
+
+
+def test_ranks_of_hot_groups_equal_those_of_windows(spark):
+    d = spark.range(6000).select((F.col("id") % 10).alias("r"), (F.xxhash64("id") % 97).cast("double").alias("x")).withColumn("g", F.when(F.col("r") < 4, "hot").when(F.col("r") < 9, F.concat(F.lit("g"), F.col("r").cast("string"))))
+    d = d.withColumn("x", F.when(F.col("x") == 5, F.lit(None)).otherwise(F.col("x"))).distinct()
+    a, b = (rows(K.group_ranks(d, ["g"], {"rank": "x"}, hot=h).select("g", "r", "x", "rank")) for h in (False, True))
+    assert a == b and any(r[3] is None for r in a)
+
+
+def test_salt_classes_from_text(spark):
+    d = spark.createDataFrame([("CCO",), ("CCO.Cl",), ("[Pt+2].NCCN",), ("[Na+].CC(=O)[O-]",), ("[13CH3]O",), (None,)], "s string")
+    assert [r[0] for r in d.select(chemistry.text_salt_class("s")).collect()] == ["single", "salt_or_solvate", "metal_complex", "salt_or_solvate", "single", None]
+
+
 def test_quantile_bins_merge_equal_edges(spark):
     d = spark.createDataFrame([(x,) for x in (1, 1, 1, 1, 2, 9)], "x int")
     assert [r["bin"] for r in K.quantile_bins(d, "x").orderBy("x").collect()] == [1, 1, 1, 1, 2, 2]
@@ -126,6 +145,8 @@ def test_rewiring_keeps_degrees():
     out = G.rewire(edges, 3)
     assert Counter(s for s, _ in out) == Counter(s for s, _ in set(edges)) and Counter(m for _, m in out) == Counter(m for _, m in set(edges))
     assert set(out) != set(edges) and G.rewire(edges, 3) == out
+    with pytest.raises(ValueError):
+        G.rewire([("s", "a"), ("s", "b")], 1)
 
 
 def test_structure_functions_need_their_toolkit():
