@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assaymill.functions.ids import loose_id, sql_strict_id, strict_id
+from assaymill.functions.ids import loose_id, sql_loose_id, sql_strict_id, strict_id
 from assaymill.llm import components, leakage, matching, mixing, neighbours, overlap, splits, subjects
 from assaymill.session import settle, table
 
-SEGMENTS = {"cell": "cell_id", "compound": "compound_id", "parent": "normalized_parent_id"}
-BLOCKS = [("cell", "compound"), ("cell", "parent")]
+ATTRIBUTES = {"cell": "cell_id", "compound": "compound_id", "parent": "normalized_parent_id"}
+VIEWS = [("cell", "compound"), ("cell", "parent")]
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.cross_split_pairs(table(spark, sf_dir, "core_samples"), table(spark, sf_dir, "lpo_folds"), "sample_id", SEGMENTS, BLOCKS)
+    return overlap.cross_split_pairs(table(spark, sf_dir, "core_samples"), table(spark, sf_dir, "lpo_folds"), "sample_id", ATTRIBUTES, VIEWS)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +40,21 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(total, ["kind", "lineage"]).join(F.broadcast(t), "split", "left").withColumn("share", F.col("n") / F.col("of"))
 
 
+def p5_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each split against its target, per kind and per kind and lineage, within the largest component of the kind."""
+    s, t = settle(p5_splits(spark, sf_dir)), table(spark, sf_dir, "split_targets")
+    return splits.split_gaps(s.withColumn("lineage", F.lit("(all)")), t, ["kind", "lineage"]).unionByName(splits.split_gaps(s, t, ["kind", "lineage"]))
+
+
 def p5_divided_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded groups whose members lie in several splits, per kind: none."""
+    """Recorded groups whose members lie in several splits, per kind: none; and where the smallest entity of a kind is moved to a split of its own: its groups of more than one."""
     s = settle(p5_splits(spark, sf_dir)).select("kind", "entity_id", "split")
     c = table(spark, sf_dir, "cell_group_assignment").select(F.lit("cell").alias("kind"), strict_id("cell_id").alias("entity_id"), loose_id("group_id").alias("g"))
     d = table(spark, sf_dir, "drug_group_assignment").select(F.lit("compound").alias("kind"), strict_id("compound_id").alias("entity_id"), loose_id("chemical_group_id").alias("g"))
-    met = c.unionByName(d).filter("g IS NOT NULL").join(s, ["kind", "entity_id"]).groupBy("kind", "g").agg(F.countDistinct("split").alias("n"))
-    return met.groupBy("kind").agg(F.count_if(F.col("n") > 1).alias("n_divided"))
+    first = F.broadcast(s.groupBy("kind").agg(F.min("entity_id").alias("least")))  # two rows
+    s = s.join(first, "kind").withColumn("moved", F.when(F.col("entity_id") == F.col("least"), F.lit("elsewhere")).otherwise(F.col("split")))
+    met = c.unionByName(d).filter("g IS NOT NULL").join(s, ["kind", "entity_id"]).groupBy("kind", "g").agg(F.countDistinct("split").alias("n"), F.countDistinct("moved").alias("m"))
+    return met.groupBy("kind").agg(F.count_if(F.col("n") > 1).alias("n_divided"), F.count_if(F.col("m") > 1).alias("n_planted"))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +125,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(settle(p8_mix(spark, sf_dir)), table(spark, sf_dir, "source_weights"))
 
 
+def p8_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached among the sources used, against their targets and the bound that whole documents allow."""
+    return mixing.gaps(settle(p8_mix(spark, sf_dir)), table(spark, sf_dir, "source_weights"))
+
+
+LENGTH_BLOCK = 64
+
+
+def p8_length_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks per source when the size of a text is its length: the apportionment alone, which SQL can repeat."""
+    told = mixing.clean_weights(table(spark, sf_dir, "source_weights"))
+    docs = table(spark, sf_dir, "documents").select(mixing.source_name("source").alias("source"), F.length("text").cast("bigint").alias("n")).filter("n > 0")
+    supply = {r["source"]: r["n"] for r in docs.join(F.broadcast(told), "source").groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    goal = [(r["source"], r["target_share"], r["max_repeats"]) for r in told.orderBy("source").collect()]
+    return spark.createDataFrame(list(mixing.source_quotas(supply, goal, None, LENGTH_BLOCK).items()), "source string, blocks bigint")
+
+
 def p8_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources used more often than allowed, or in no weight: none."""
     used = p8_mix(spark, sf_dir).groupBy("source").agg(F.max("repeats").alias("most"))
@@ -143,10 +168,10 @@ QUERIES = {
     "p2_found": p2_found, "p2_matches": p2_matches,
     "p3_found": p3_found, "p3_recall": p3_recall,
     "p4_found": p4_found, "p4_overlap_report": p4_overlap_report,
-    "p5_splits": p5_splits, "p5_shares": p5_shares, "p5_divided_groups": p5_divided_groups,
+    "p5_splits": p5_splits, "p5_shares": p5_shares, "p5_gap": p5_gap, "p5_divided_groups": p5_divided_groups,
     "p6_found": p6_found, "p6_membership": p6_membership,
     "p7_found": p7_found, "p7_leaked_items": p7_leaked_items,
-    "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_excess": p8_excess,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_excess": p8_excess, "p8_gap": p8_gap, "p8_length_quotas": p8_length_quotas,
     "p9_found": p9_found, "p9_composition": p9_composition,
 }
 
@@ -170,7 +195,13 @@ ORACLE = {
  src AS (SELECT DISTINCT sample_id, nullif(trim(release_id), '') AS release_id FROM core_samples)
  SELECT fo.r AS role, src.release_id, count(*) AS n_eval, CAST(sum(h.n) AS BIGINT) AS n_pairs FROM h JOIN fo ON fo.sample_id = h.e AND fo.r <> 'train'
  LEFT JOIN src ON src.sample_id = h.e GROUP BY 1, 2""",
-    "p5_divided_groups": "SELECT 'cell' AS kind, CAST(0 AS BIGINT) AS n_divided UNION ALL SELECT 'compound', CAST(0 AS BIGINT)",
+    "p5_divided_groups": f"""WITH r AS (SELECT DISTINCT 'cell' AS kind, {_ID['cell_id']} AS e, {sql_loose_id('group_id')} AS g FROM cell_group_assignment UNION SELECT DISTINCT 'compound', {_ID['compound_id']}, {sql_loose_id('chemical_group_id')} FROM drug_group_assignment),
+ l AS (SELECT kind, min(e) AS least FROM r GROUP BY 1), z AS (SELECT kind, g, count(*) AS n, count(*) FILTER (e = least) AS k FROM r JOIN l USING (kind) WHERE e IS NOT NULL AND g IS NOT NULL GROUP BY 1, 2)
+ SELECT kind, CAST(0 AS BIGINT) AS n_divided, count(*) FILTER (n > 1 AND k > 0) AS n_planted FROM z GROUP BY 1""",
+    "p8_length_quotas": f"""WITH w0 AS (SELECT regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g') AS source, greatest(coalesce(target_share, 0), 0) AS w, greatest(coalesce(max_repeats, 1), 0) AS r FROM source_weights WHERE trim(source) <> ''), w AS (SELECT source, max(w) AS w, min(r) AS r FROM w0 GROUP BY 1),
+ d AS (SELECT regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g') AS source, sum(length(text)) AS n FROM documents WHERE length(text) > 0 GROUP BY 1), c AS (SELECT source, CAST(w AS DOUBLE) AS w, n * r // {LENGTH_BLOCK} AS cap FROM d JOIN w USING (source) WHERE w > 0 AND n * r // {LENGTH_BLOCK} > 0),
+ s AS (SELECT min(floor(cap / (w / (SELECT sum(w) FROM c)))) AS seats FROM c), q AS (SELECT source, w / (2 * unnest(range(CAST(cap AS BIGINT))) + 1) AS quotient FROM c), k AS (SELECT source, row_number() OVER (ORDER BY quotient DESC, source) AS r FROM q)
+ SELECT c.source, count(r) AS blocks FROM c LEFT JOIN (SELECT k.* FROM k, s WHERE r <= seats) k USING (source) GROUP BY 1""",
     "p8_excess": "SELECT CAST(0 AS BIGINT) AS n_excess",
     "p6_found": f"{_GROUPS} SELECT compound_id, chemical_group_id FROM g WHERE n_members > 1",
     "p6_membership": f"{_GROUPS} SELECT * FROM g",

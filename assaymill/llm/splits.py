@@ -8,11 +8,15 @@ go to each split; the components are then ranked by a seeded hash within (stratu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assaymill.functions.ids import loose_id, strict_id, trimmed
 from assaymill.session import discard, settle
 
+BITSET = 1 << 20  #: bits of a subset-sum bitset: larger totals are counted in larger units
+
 
 def hook_and_shortcut(links: DataFrame) -> DataFrame:
     """(v, root) for links (v, u); every vertex of the links appears, root is the smallest vertex of its component.
@@ -43,41 +47,75 @@ def hook_and_shortcut(links: DataFrame) -> DataFrame:
     return parent.select("v", F.col("p").alias("root"))
 
 
+def nearest_bit(reach: int, rest: float) -> int:
+    """The set bit of ``reach`` nearest to ``rest``, the lower one on a tie; bit 0 is always set."""
+    at = max(0, math.floor(rest))
+    below = (reach & ((1 << (at + 1)) - 1)).bit_length() - 1
+    above = reach >> (at + 1)
+    if not above:
+        return below
+    up = at + (above & -above).bit_length()
+    return up if up - rest < rest - below else below
+
+
+def subset(items: list[tuple[int, int]], rest: float) -> list[int]:
+    """Indices of the items (size, copies) whose total size x copies comes nearest to ``rest``, by a bitset of reachable totals.
+
+    A bit is set once; the first item that reached each total is kept as the bits it added, so a choice is read back from those.
+    """
+    mask = (1 << (int(2 * rest) + 2)) - 1  # a larger total is farther away than none at all
+    reach, added = 1, []
+    for s, k in items:
+        new = (reach << (s * k)) & mask & ~reach
+        added.append(new)
+        reach |= new
+    best, chosen = nearest_bit(reach, rest), []
+    for i in range(len(items) - 1, -1, -1):
+        if added[i] >> best & 1:
+            chosen.append(i)
+            best -= items[i][0] * items[i][1]
+    return chosen
+
+
 def choose_counts(sizes: dict[int, int], target: float) -> dict[int, int]:
     """How many components of each size sum closest to ``target`` (the smaller total on a tie).
 
-    A proportional part of every size is taken first; the remainder is settled by a bitset whose bit t
-    says that total t can be reached, one item per power of two of each multiplicity.
+    A proportional part of every size, less one component, is taken first; the remainder is settled by a bitset whose bit t says that total t can be reached, one item per power
+    of two of each multiplicity. Beyond BITSET the sizes are counted in units: the bitset settles what makes a unit, and the smaller components fill in
+    one size after another. Time and memory of the driver are bounded by BITSET x the number of sizes, whatever the number of records.
     """
     total = sum(s * c for s, c in sizes.items())
     if total == 0 or target <= 0:
         return {}
     share = min(1.0, target / total)
-    taken = {s: int(c * share) for s, c in sizes.items()}
-    rest = target - sum(s * c for s, c in taken.items())
+    taken = {s: max(0, int(c * share) - 1) for s, c in sizes.items()}
     left = {s: c - taken[s] for s, c in sizes.items() if c > taken[s]}
+    rest = target - sum(s * c for s, c in taken.items())
     if left and rest > 0:
-        limit = int(2 * rest) + 1  # a larger total is farther away than none at all
-        mask = (1 << (limit + 1)) - 1
-        items: list[tuple[int, int]] = []
-        for s in sorted(left, reverse=True):
-            c, k = min(left[s], limit // s), 1
-            while c > 0:
-                items.append((s, min(k, c)))
-                c -= k
-                k *= 2
-        reach, states = 1, []
-        for s, k in items:
-            states.append(reach)
-            reach |= (reach << (s * k)) & mask
-        best = min((t for t in range(limit + 1) if reach >> t & 1), key=lambda t: (abs(t - rest), t))
-        for (s, k), before in zip(reversed(items), reversed(states)):
-            if not before >> best & 1:
-                taken[s] += k
-                best -= s * k
+        unit = max(1, math.ceil(2 * rest / BITSET))
+        for s, k in _settle_rest({s: c for s, c in left.items() if s >= unit}, rest, unit):
+            taken[s] += k
+            left[s] -= k
+            rest -= s * k
+        for s in sorted((s for s in left if unit > 1 and s < unit), reverse=True):  # a unit's worth and the rounding of larger sizes
+            k = max(0, min(left[s], round(rest / s)))
+            taken[s] += k
+            rest -= s * k
     return {s: c for s, c in taken.items() if c}
 
 
+def _settle_rest(left: dict[int, int], rest: float, unit: int) -> list[tuple[int, int]]:
+    items: list[tuple[int, int]] = []  # (size, copies)
+    for s in sorted(left, reverse=True):
+        c, k = min(left[s], int(2 * rest) // s), 1
+        while c > 0:
+            items.append((s, min(k, c)))
+            c -= k
+            k *= 2
+    chosen = subset([(1, max(1, round(s * k / unit))) for s, k in items] if unit > 1 else items, rest / unit)
+    return [items[i] for i in chosen]
+
+
 def plan_counts(sizes: list[tuple[str, int, int]], targets: list[tuple[str, float]]) -> list[tuple[str, int, str, int, int]]:
     """(stratum, size, split, lo, hi): ranks lo < rank <= hi of a stratum's components of a size go to the split.
 
@@ -156,3 +194,20 @@ def related_splits(cells: DataFrame, drugs: DataFrame, targets: DataFrame, seed:
         F.split_part("v", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("v", F.lit(":"), F.lit(2)).alias("entity_id"), F.col("root").alias("component"),
         F.split_part("stratum", F.lit("/"), F.lit(2)).alias("lineage"), "split",
     )
+
+
+def split_gaps(assigned: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, split, n, wanted, gap, largest, within): records of a split against its target, per kind or stratum.
+
+    Whole components cannot come nearer than half the largest one; a stratum also evens out what the strata before it missed, so a gap within the
+    largest component of the kind is what can be asked of every row.
+    """
+    total = assigned.groupBy(*by).agg(F.count(F.lit(1)).alias("of"))
+    goal = targets.filter("split IS NOT NULL AND target_share > 0").select("split", F.col("target_share").cast("double").alias("t")).distinct()
+    goal = goal.crossJoin(F.broadcast(goal.agg(F.sum("t").alias("norm"))))  # one row
+    largest = assigned.groupBy("kind", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("kind").agg(F.max("c").alias("largest"))
+    have = assigned.groupBy(*by, "split").agg(F.count(F.lit(1)).alias("n"))
+    met = total.crossJoin(F.broadcast(goal)).join(have, [*by, "split"], "left").join(F.broadcast(largest), "kind")  # three splits; two kinds
+    wanted = F.col("of") * F.col("t") / F.col("norm")
+    n = F.coalesce("n", F.lit(0))
+    return met.select(*by, "split", n.alias("n"), wanted.alias("wanted"), F.abs(n - wanted).alias("gap"), "largest", (F.abs(n - wanted) <= F.col("largest")).alias("within"))
