@@ -4,7 +4,7 @@
    once, however many copies it has, and keeps its k + 1 smallest ids: no more can be anyone's neighbour.
 2. Each table applies a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and assigns the vector
    to the nearest signed axis; further digits, as many as the number of vectors asks for, come from further rotations. A vector is stored
-   under its own code and also queries the code of its second nearest axis in the least certain digit (multiprobe).
+   under its own code and also queries the codes in which one digit has a farther axis, by the least loss first (multiprobe).
 3. Buckets are scored exactly in float64 (cosine) or by bit counts (Tanimoto). A bucket beyond ``BUCKET`` rows is scored whole
    as pairs of blocks in separate tasks: nothing is capped or dropped, at a cost that grows with the square of its rows.
 4. The best k groups of each group over all tables are expanded to ids, ties to the smaller id.
@@ -33,10 +33,11 @@ HOT_BROADCAST = 100_000  #: large buckets up to which their list is broadcast
 BUNDLE = 6000  #: rows scored by one call of the Python function
 
 KINDS = {"expression": (128, 128), "fingerprints": (2048, 256)}  #: full length, hashed length
-TABLES = {"expression": 12, "fingerprints": 16}  #: neighbours of fingerprints are farther apart
+TABLES = {"expression": 8, "fingerprints": 14}  #: neighbours of fingerprints are farther apart
+PROBES = {"expression": 2, "fingerprints": 2}  #: further buckets a vector visits in each table
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=16)
 def hadamard(d: int) -> np.ndarray:
     h = np.ones((1, 1), np.float32)
     while len(h) < d:
@@ -44,32 +45,49 @@ def hadamard(d: int) -> np.ndarray:
     return h / np.float32(math.sqrt(d))
 
 
-@lru_cache(maxsize=128)
-def rotation(d: int, seed: int) -> np.ndarray:
-    """The pseudo-rotation D1 H D2 H D3 H as a matrix, so that a batch is rotated by one product."""
-    rng = np.random.default_rng([seed, d])
-    r = np.eye(d, dtype=np.float32)
-    for _ in range(3):
-        r = (r * rng.choice(np.array([-1, 1], np.float32), d)) @ hadamard(d)
-    return r
+def fast_hadamard(x: np.ndarray) -> np.ndarray:
+    """Rows times the Hadamard matrix of d = a b as two small products (H_d is the Kronecker product of H_a and H_b): d (a + b) instead of d^2 steps a row."""
+    n, d = x.shape
+    b = 1 << (d.bit_length() // 2)
+    return np.matmul(hadamard(d // b), np.matmul(x.reshape(n, d // b, b), hadamard(b))).reshape(n, d)
 
 
-@lru_cache(maxsize=4)
-def shrink(full: int, d: int, seed: int) -> np.ndarray:
-    """Random signs, then d rows of a Hadamard transform: a Johnson-Lindenstrauss projection."""
-    signs = np.random.default_rng([seed, full, d]).choice(np.array([-1, 1], np.float32), full)
-    return (signs[:, None] * hadamard(full)[:, :d]).astype(np.float32)
+@lru_cache(maxsize=512)
+def signs(d: int, *seed: int) -> np.ndarray:
+    return np.random.default_rng([*seed, d]).choice(np.array([-1, 1], np.float32), (3, d))
 
 
-def digit(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest signed axis, second nearest and how much nearer the first is."""
-    rows = np.arange(len(y))
+def rotate(x: np.ndarray, seed: int) -> np.ndarray:
+    """The pseudo-rotation of rows: three rounds of random signs and a fast Hadamard transform."""
+    for s in signs(x.shape[1], seed):
+        x = fast_hadamard(x * s)
+    return x
+
+
+def digit(y: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest signed axes, ``probes`` + 1 of them, and how much farther than the first each is; an axis that is not there is infinitely far."""
+    n, m = y.shape
     a = np.abs(y)
-    first = a.argmax(1)
-    top = a[rows, first].copy()
-    a[rows, first] = -1
-    second = a.argmax(1)
-    return first * 2 + (y[rows, first] < 0), second * 2 + (y[rows, second] < 0), top - a[rows, second]
+    k = min(probes + 1, m)
+    near = np.argpartition(-a, k - 1, axis=1)[:, :k] if k < m else np.broadcast_to(np.arange(m), (n, m))
+    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(a, near, 1), axis=1, kind="stable"), 1)
+    size = np.take_along_axis(a, near, 1)
+    axes = near * 2 + (np.take_along_axis(y, near, 1) < 0)
+    pad = ((0, 0), (0, probes + 1 - k))
+    return np.pad(axes, pad), np.pad(size[:, :1] - size, pad, constant_values=np.inf)
+
+
+def codes(v: np.ndarray, sizes: list[int], table: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Own code of each row in a table, and the ``probes`` next best codes: one digit replaced by a farther axis, the least loss first (-1: there are no more)."""
+    n = len(v)
+    axes, loss = zip(*(digit(rotate(v, 1000 * table + k)[:, :m], probes) for k, m in enumerate(sizes)))
+    weight = np.concatenate([np.cumprod([2 * m for m in sizes[:0:-1]], dtype=np.int64)[::-1], [1]]) if len(sizes) > 1 else np.ones(1, np.int64)
+    own = sum(a[:, 0] * w for a, w in zip(axes, weight)).astype(np.int64)
+    other = np.stack([(a[:, j] - a[:, 0]) * w for a, w in zip(axes, weight) for j in range(1, probes + 1)], 1)
+    lost = np.stack([x[:, j] for x in loss for j in range(1, probes + 1)], 1)
+    best = np.argsort(lost, axis=1, kind="stable")[:, :probes]
+    alt = own[:, None] + np.take_along_axis(other, best, 1)
+    return own, np.where(np.isfinite(np.take_along_axis(lost, best, 1)), alt, -1)
 
 
 def digit_sizes(n: int, d: int) -> list[int]:
@@ -94,8 +112,11 @@ def hashed_view(m: np.ndarray, kind: str) -> np.ndarray:
     if kind == "expression":
         x = m.astype(np.float64)
         return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    bits = np.unpackbits(m.view(np.uint8), axis=1).astype(np.float32)
-    return (bits / np.sqrt(bits.sum(1, keepdims=True))) @ shrink(full, d, 5)
+    out = np.empty((len(m), d), np.float32)
+    for lo in range(0, len(m), 1024):  # random signs, then d rows of the transform: a Johnson-Lindenstrauss projection
+        bits = np.unpackbits(m[lo : lo + 1024].view(np.uint8), axis=1).astype(np.float32)
+        out[lo : lo + 1024] = fast_hadamard(bits / np.sqrt(bits.sum(1, keepdims=True)) * signs(full, 5, d)[0])[:, :d]
+    return out
 
 
 def similarities(q: np.ndarray, c: np.ndarray, kind: str) -> np.ndarray:
@@ -145,20 +166,16 @@ def valid_vectors(vectors: DataFrame, kind: str, column: str | None = None, id_c
 
 
 def _coder(kind: str, sizes: list[int]):
-    d, tables = KINDS[kind][1], TABLES[kind]
+    d, tables, probes = KINDS[kind][1], TABLES[kind], PROBES[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             v = hashed_view(unpack(b.column("vec").to_pylist(), kind), kind) if n else np.zeros((0, d), np.float32)
-            own, alt = (np.zeros((n, tables), np.int64) for _ in range(2))
+            own, alt = np.zeros((n, tables), np.int64), np.zeros((n, tables * probes), np.int64)
             for t in range(tables if n else 0):
-                parts = [digit((v @ rotation(d, 1000 * t + k))[:, :m]) for k, m in enumerate(sizes)]
-                unsure = np.stack([p[2] for p in parts]).argmin(0)
-                for k, ((first, second, _), m) in enumerate(zip(parts, sizes)):
-                    own[:, t] = own[:, t] * 2 * m + first
-                    alt[:, t] = alt[:, t] * 2 * m + np.where(unsure == k, second, first)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables, pa.int32()), pa.array(x.ravel())) for x in (own, alt)]
+                own[:, t], alt[:, t * probes : (t + 1) * probes] = codes(v, sizes, t, probes)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (own, alt)]
             yield pa.RecordBatch.from_arrays([b.column("gid"), b.column("ids"), b.column("vec"), *lists], ["gid", "ids", "vec", "own", "alt"])
 
     return run
@@ -213,14 +230,15 @@ def bucket_candidates(groups: DataFrame, kind: str, k: int) -> DataFrame:
     """(gid, other, sim): per group the k best found in each bucket it visits."""
     n = groups.count()
     coded = settle(groups.mapInArrow(_coder(kind, digit_sizes(n, KINDS[kind][1])), "gid bigint, ids array<bigint>, vec binary, own array<bigint>, alt array<bigint>"))
-    each = lambda *cols: coded.select(*cols, F.posexplode(F.arrays_zip("own", "alt")).alias("t", "x")).select(*cols, "t", "x.*")
-    sizes = each().groupBy("t", F.col("own").alias("code")).agg(F.count(F.lit(1)).alias("m"))
+    probes = PROBES[kind]
+    own = lambda *cols: coded.select(*cols, F.posexplode("own").alias("t", "code"))
+    sizes = own().groupBy("t", "code").agg(F.count(F.lit(1)).alias("m"))
     big = settle(sizes.filter(F.col("m") > BUCKET).withColumn("blocks", F.ceil(F.col("m") / BUCKET).cast("int")))
-    n_big, copies = big.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("m") * F.col("blocks") * 3), F.lit(0))).first()
+    n_big, copies = big.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("m") * F.col("blocks") * (2 + probes)), F.lit(0))).first()
     big = big.select("t", "code", "blocks")
-    probes = F.explode(F.array(F.struct(F.col("own").alias("code"), F.lit(True).alias("cand")), F.struct(F.col("alt").alias("code"), F.lit(False).alias("cand"))))
-    # a second nearest axis that equals the first (one axis only) would query the same bucket twice
-    rows = each("gid", "vec").withColumn("p", probes).select("gid", "vec", "t", "p.*", "own").filter("cand OR code <> own").drop("own")
+    visit = lambda t, code, cand: F.struct(t.cast("int").alias("t"), code.alias("code"), F.lit(cand).alias("cand"))
+    visits = F.concat(F.transform("own", lambda c, t: visit(t, c, True)), F.filter(F.transform("alt", lambda c, i: visit(F.floor(i / probes), c, False)), lambda x: x["code"] >= 0))
+    rows = coded.select("gid", "vec", F.explode(visits).alias("p")).select("gid", "vec", "p.*")
     if n_big == 0:
         rows = rows.withColumn("blocks", F.lit(None).cast("int"))
     else:  # a large bucket has more than BUCKET rows, so there are at most n x tables / BUCKET of them
@@ -233,7 +251,7 @@ def bucket_candidates(groups: DataFrame, kind: str, k: int) -> DataFrame:
     as_cand = F.transform(every, lambda j: piece(j * F.col("blocks") + block, F.lit(True), F.lit(False)))
     pieces = F.when(F.col("blocks").isNull(), whole).when(F.col("cand"), F.concat(as_query, as_cand)).otherwise(as_query)
     rows = rows.select("gid", "vec", F.xxhash64("t", "code").alias("b"), F.explode(pieces).alias("p")).select("gid", "vec", "b", "p.*")
-    bundles = max(1, (n * TABLES[kind] * 2 + copies) // BUNDLE)
+    bundles = max(1, (n * TABLES[kind] * (1 + probes) + copies) // BUNDLE)
     scored = rows.groupBy(F.pmod(F.xxhash64("b", "cell"), F.lit(bundles)).alias("bundle")).applyInArrow(_scorer(kind, k), "gid bigint, other bigint, sim bigint")
     return scored
 

@@ -110,6 +110,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p7_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item with the number of documents it leaked into and the largest share of it found in one."""
     items = table(spark, sf_dir, "eval_items").select("item_id", "item_set").distinct()
@@ -157,6 +161,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).select("doc_id", "subject")
 
 
+def p9_held_out_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"), table(spark, sf_dir, "subject_labels"))
+
+
 def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Make-up of the corpus: documents that accept a subject, and its weight when each document counts once."""
     s = settle(_subjects(spark, sf_dir))
@@ -170,9 +178,9 @@ QUERIES = {
     "p4_found": p4_found, "p4_overlap_report": p4_overlap_report,
     "p5_splits": p5_splits, "p5_shares": p5_shares, "p5_gap": p5_gap, "p5_divided_groups": p5_divided_groups,
     "p6_found": p6_found, "p6_membership": p6_membership,
-    "p7_found": p7_found, "p7_leaked_items": p7_leaked_items,
+    "p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p7_reparameterised": p7_reparameterised,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_excess": p8_excess, "p8_gap": p8_gap, "p8_length_quotas": p8_length_quotas,
-    "p9_found": p9_found, "p9_composition": p9_composition,
+    "p9_found": p9_found, "p9_composition": p9_composition, "p9_held_out_quality": p9_held_out_quality,
 }
 
 _ID = {k: sql_strict_id(k) for k in ("cell_id", "compound_id", "normalized_parent_id", "scaffold_id")}

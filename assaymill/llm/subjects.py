@@ -8,8 +8,8 @@
    from the whole corpus. Expectation-maximisation over *all* documents then assigns sentences to models, with subject shares per
    document (a labelled document may use its labels and the background, others with a small probability), and recounts.
 3. A sentence belongs to the subject whose cross-entropy per token is lowest, if it is below the background's; a subject is accepted when its
-   sentences make up at least a calibrated share of the document's subject matter. The share is the one with the best F1 on the labels,
-   within ``SHARES``. Several subjects may be accepted.
+   sentences make up at least a calibrated share of the document's subject matter. Each subject's share is the one with the best F1, within ``SHARES``, on a
+   quarter of the labels that fits no model. Several subjects may be accepted.
 
 Defined cases: NULL and empty texts and texts without subject matter get no row; unknown subjects in labels are ignored; labels of missing
 documents, repeated labels and repeated subjects count once; without any labels the descriptions alone start the models; a document of any length
@@ -37,10 +37,11 @@ HEAT = (0.1, 0.2, 0.4, 0.7, 1.0, 1.0)  #: weight of the evidence in the passes a
 BACKGROUND = 3.0  #: prior weight of the background against a subject
 MIX = (0.62, 0.33, 0.05)  #: bigram, unigram, uniform
 SHARES = (0.2, 0.4)
+LEAST_LABELS = 20  #: labelled documents that set a subject's own limit
 CJK = "぀-ヿ㐀-鿿豈-﫿"
 TOKEN = re.compile(rf"(?P<id>[^\W\d_{CJK}]+[-_]?\d[^\W_{CJK}]*)|(?P<num>\d+(?:[.,:]\d+)*)|[{CJK}]|(?:(?![{CJK}])[^\W\d_])+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|[\n。!?;]+")
-ASIDE = re.compile(r"\([^()]*\)|;\s[^;]*$")  #: a parenthesis or a clause after the last semicolon only touches its matter
+ASIDE = re.compile(r"\([^()]*\)|;\s[^;]*$")  #: a parenthesis or a clause after the last semicolon may have another matter
 #: Function words that tell languages written in Latin script.
 FUNCTION_WORDS = (
     frozenset("the of and to is was were that for with by from at as it its be are this which but not has had".split()),
@@ -64,14 +65,15 @@ def language(words: list[str]) -> int:
 
 
 def sentences(text: str) -> list[tuple[int, list[int]]]:
-    """Language and token hashes per sentence; sentences without a token are left out, asides are no matter of a sentence that has more."""
+    """Language and token hashes per sentence; sentences without a token are left out, an aside is a sentence of its own."""
     text = unicodedata.normalize("NFKC", text.translate(INVISIBLE))
     out = []
     for s in SENTENCE.split(text):
         s = s.casefold()
-        words = [(m.lastgroup, m.group()) for m in TOKEN.finditer(ASIDE.sub(" ", s))] or [(m.lastgroup, m.group()) for m in TOKEN.finditer(s)]
-        if words:
-            out.append((language([w for _, w in words]), [_id("<id>" if k == "id" else "<n>" if k == "num" else w) for k, w in words]))
+        for piece in (ASIDE.sub(" ", s), *ASIDE.findall(s)):
+            words = [(m.lastgroup, m.group()) for m in TOKEN.finditer(piece)]
+            if words:
+                out.append((language([w for _, w in words]), [_id("<id>" if k == "id" else "<n>" if k == "num" else w) for k, w in words]))
     # a sentence without any function word speaks the language most of the text does
     told = [x for x, _ in out if x < LANGUAGES - 1]
     most = max(set(told), key=told.count) if told else LANGUAGES - 1
@@ -80,8 +82,8 @@ def sentences(text: str) -> list[tuple[int, list[int]]]:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, u, g, n, lang = [], [], [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        ids, seed, u, g, n, lang = [], [], [], [], [], []
+        for i, t, of in zip(*(b.column(k).to_pylist() for k in range(3))):
             ss = sentences(t or "")
             if not ss:
                 continue
@@ -92,6 +94,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = 1  # a sentence starts afresh
             mix = (before * np.uint64(0x9E3779B97F4A7C15) + h) * np.uint64(0xC2B2AE3D27D4EB4F)
             ids.append(i)
+            seed.append(of)
             # the unigram and the history share a hash, so that counts of histories are unigram counts
             u.append(((h & np.uint64(UNI - 1)).astype(np.int32), (before & np.uint64(UNI - 1)).astype(np.int32)))
             g.append((mix >> np.uint64(64 - 18)).astype(np.int32))
@@ -100,7 +103,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cut = lambda xs: pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(cut(xs), pa.array(np.concatenate(xs))) for xs in ([x for x, _ in u], [x for _, x in u], g, n, lang)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", "u", "h", "g", "n", "l"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seed, pa.int32()), *lists], ["doc_id", "seed", "u", "h", "g", "n", "l"])
 
 
 class Models:
@@ -156,19 +159,19 @@ def _count(shared, heat: float):
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 u, h, g, lang, start, sizes, doc = _ragged(part)
-                ids = part.column("doc_id").to_pylist()
+                ids, seeds = part.column("doc_id").to_pylist(), part.column("seed").to_pylist()
                 prior = np.ones((len(ids), k))
                 known = np.zeros(len(ids), bool)
-                for i, x in enumerate(ids):
-                    if x in labels:
+                for i, (x, of) in enumerate(zip(ids, seeds)):
+                    if of or x in labels:  # the description of a subject, or a labelled document
                         known[i] = True
                         prior[i] = 0.01
                         prior[i, 0] = 1
-                        prior[i, labels[x]] = 1
+                        prior[i, of or labels[x]] = 1
                 if models is None:
                     w = np.where(known[:, None], prior >= 1, 0.0)
                     w[:, 1:] /= np.maximum(w[:, 1:].sum(1, keepdims=True), 1)
-                    w[:, 0] = np.array([x >= 0 for x in ids])  # descriptions are no background
+                    w[:, 0] = np.array([not of for of in seeds])  # descriptions are no background
                     r = w[doc]
                 else:
                     ll = np.add.reduceat(models.log_likelihood(u, h, g, lang), start, axis=0)
@@ -206,9 +209,8 @@ def _score(shared):
                 part = b.slice(lo, 2000)
                 u, h, g, lang, start, sizes, doc = _ragged(part)
                 ll = np.add.reduceat(models.log_likelihood(u, h, g, lang), start, axis=0)
-                r = responsibilities(ll, doc, part.num_rows)
-                best = r.argmax(1)
-                gain = (ll - ll[:, :1]) / sizes[:, None]  # cross-entropy against the background, per token
+                gain = (ll - ll[:, :1]) / sizes[:, None]  # cross-entropy per token below the background's
+                best = gain.argmax(1)
                 own = gain[np.arange(len(best)), best]
                 weight = np.where((best > 0) & (own > 0), np.sqrt(sizes), 0.0)  # headings and stubs count less than sentences
                 mass = np.zeros((part.num_rows, len(names) + 1))
@@ -234,11 +236,12 @@ def subject_shares(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> tupl
     given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(trimmed("subject")).alias("subject")).filter(F.col("subject").isin(names) & F.col("doc_id").isNotNull())
     per = given.groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("s")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     known = {r["doc_id"]: list(r["s"]) for r in per.collect()}
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id >= 0 AND text IS NOT NULL")
-    seeds = spark.createDataFrame([(-1 - i, f"{r['subject'].replace('_', ' ')}. {r['text']}") for i, r in enumerate(told)], "doc_id bigint, text string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(0).alias("seed")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    seeds = spark.createDataFrame([(i, f"{r['subject'].replace('_', ' ')}. {r['text']}", i + 1) for i, r in enumerate(told)], "doc_id bigint, text string, seed int")
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    encoded = settle(texts.unionByName(seeds).repartition(width, "doc_id").mapInArrow(_encode, "doc_id bigint, u array<int>, h array<int>, g array<int>, n array<int>, l array<int>"))
-    marks = {d: [index[s] for s in ss] for d, ss in known.items()} | {-1 - i: [i + 1] for i in range(len(names))}
+    encoded = settle(texts.unionByName(seeds).repartition(width, "doc_id").mapInArrow(_encode, "doc_id bigint, seed int, u array<int>, h array<int>, g array<int>, n array<int>, l array<int>"))
+    fitted = {d: ss for d, ss in known.items() if not held_apart(d)}
+    marks = {d: [index[s] for s in ss] for d, ss in fitted.items()}
     k = len(names) + 1
     models = None
     for heat in (0.0, *HEAT):
@@ -246,26 +249,71 @@ def subject_shares(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> tupl
         models = _collect(encoded, shared, k, heat)
         shared.unpersist()
     shared = spark.sparkContext.broadcast((models, names))
-    return encoded.filter("doc_id >= 0").mapInArrow(_score(shared), "doc_id bigint, subject string, share double"), known
+    return encoded.filter("seed = 0").mapInArrow(_score(shared), "doc_id bigint, subject string, share double"), known
 
 
-def calibrated(shares: list[tuple[int, str, float]], known: dict[int, list[str]]) -> float:
-    """The acceptance share with the best F1 on labelled documents, within SHARES; the middle of the best range."""
+def held_apart(doc_id: int) -> bool:
+    """A quarter of the labelled documents, by hash, calibrates and fits no model."""
+    return xxhash.xxh32_intdigest(str(doc_id), 3) % 4 == 0
+
+
+def calibrated(shares: list[tuple[int, str, float]], known: dict[int, list[str]], names: list[str]) -> dict[str, float]:
+    """Per subject the acceptance share with the best F1 on labelled documents, within SHARES; the middle of the best range.
+
+    A subject with fewer than LEAST_LABELS labelled documents takes the share that is best for all subjects together.
+    """
     at = np.arange(SHARES[0], SHARES[1] + 1e-9, 0.01)
     truth = {(d, s) for d, ss in known.items() for s in ss}
-    rows = [(v, (d, s) in truth) for d, s, v in shares if d in known]
-    if not rows or not truth:
-        return float(np.mean(SHARES))
-    v, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    f1 = np.array([2 * (y & (v >= t)).sum() / max(1, (v >= t).sum() + len(truth)) for t in at])
-    return float(np.median(at[f1 >= f1.max() - 1e-9]))
+    rows = [(s, v, (d, s) in truth) for d, s, v in shares if d in known]
 
+    def best(of: list, n_true: int) -> float:
+        v, y = np.array([r[1] for r in of]), np.array([r[2] for r in of])
+        f1 = np.array([2 * (y & (v >= t)).sum() / max(1, (v >= t).sum() + n_true) for t in at])
+        return float(np.median(at[f1 >= f1.max() - 1e-9]))
 
-def subjects(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, subject, share) of accepted subjects."""
+    pooled = best(rows, len(truth)) if rows and truth else float(np.mean(SHARES))
+    out = {}
+    for s in names:
+        own, n = [r for r in rows if r[0] == s], sum(x == s for _, x in truth)
+        out[s] = best(own, n) if own and n >= LEAST_LABELS else pooled
+    return out
+
+
+def accepted(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, list[str]]]:
+    """((doc_id, subject, share, least, accepted), the labels that fitted no model)."""
     spark = docs.sparkSession
     shares, known = subject_shares(docs, areas, labels)
     shares = settle(shares)
-    ids = spark.createDataFrame([(d,) for d in known], "doc_id bigint")
+    apart = {d: ss for d, ss in known.items() if held_apart(d)}
+    ids = spark.createDataFrame([(d,) for d in apart], "doc_id bigint")
     sample = [(r["doc_id"], r["subject"], r["share"]) for r in shares.join(F.broadcast(ids), "doc_id", "left_semi").collect()]  # at most LABELLED documents
-    return shares.filter(F.col("share") >= calibrated(sample, known))
+    names = sorted({s for s in [r[0] for r in shares.select("subject").distinct().collect()]})
+    limits = spark.createDataFrame(list(calibrated(sample, apart, names).items()), "subject string, least double")
+    return shares.join(F.broadcast(limits), "subject").withColumn("accepted", F.col("share") >= F.col("least")), apart
+
+
+def subjects(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, subject, share) of accepted subjects."""
+    return accepted(docs, areas, labels)[0].filter("accepted").select("doc_id", "subject", "share")
+
+
+def held_out_quality(docs: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
+    """(subject, n_true, n_found, n_both, recall, precision) on labelled documents that neither fitted a model nor set a limit: the half of
+    the labels held apart whose limits come from the other half, and the other way round."""
+    spark = docs.sparkSession
+    shares, known = subject_shares(docs, areas, labels)
+    apart = {d: ss for d, ss in known.items() if held_apart(d)}
+    ids = spark.createDataFrame([(d,) for d in apart], "doc_id bigint")
+    rows = [(r["doc_id"], r["subject"], r["share"]) for r in shares.join(F.broadcast(ids), "doc_id", "left_semi").collect()]  # at most LABELLED documents
+    names = sorted({s for ss in apart.values() for s in ss} | {s for _, s, _ in rows})
+    count = {s: [0, 0, 0] for s in names}
+    for side in (0, 1):
+        half = lambda d: xxhash.xxh32_intdigest(str(d), 4) % 2 == side
+        limits = calibrated([r for r in rows if not half(r[0])], {d: ss for d, ss in apart.items() if not half(d)}, names)
+        truth = {(d, s) for d, ss in apart.items() if half(d) for s in ss}
+        found = {(d, s) for d, s, v in rows if half(d) and v >= limits[s]}
+        for i, pairs in enumerate((truth, found, truth & found)):
+            for _, s in pairs:
+                count[s][i] += 1
+    out = spark.createDataFrame([(s, *c) for s, c in count.items()], "subject string, n_true bigint, n_found bigint, n_both bigint")
+    return out.withColumn("recall", F.try_divide("n_both", "n_true")).withColumn("precision", F.try_divide("n_both", "n_found"))
