@@ -39,7 +39,7 @@ LEAST_WINDOWS = 2  #: and at least so many
 BITMAP_BITS = 20, 28  #: fewest and most bits of the bitmap's index; in between sixteen slots per window
 HOT_ITEMS = 64  #: items beyond which a window is hot
 HOT_SHARE = 0.3  #: of an item's windows that may be hot and left out
-NAMES_MOST = 0.15  #: of the words inside sentences that may be written with a capital, if this is to mark names
+NAMES_MOST = 0.2  #: of the words inside sentences that may be written with a capital, if this is to mark names
 NEAR = 90  #: words that may lie between two neighbouring stretches
 MATCH, MISS, GAP = 1.0, -0.7, -0.7
 
@@ -54,7 +54,7 @@ TOKEN = re.compile(
 )
 
 
-START = re.compile(r"(?:^|[.!?:;\n\"“„«»(\[#*|=>-])\s*$")
+START = re.compile(r"[.!?:;\n\"“„«»(\[#*|=>-]")  #: between two words: the second one begins a sentence, a line or a title
 
 
 def canonical(text: str | None) -> tuple[list[str], list[str], list[bool]]:
@@ -69,9 +69,9 @@ def canonical(text: str | None) -> tuple[list[str], list[str], list[bool]]:
         words.append(w)
         plain = kind == "word" and w not in UNITS
         tokens.append(w if plain or kind == "cjk" else "<n>" if kind == "num" else "<id>" if kind == "id" else "<u>")
-        mid = plain and len(raw) > 1 and words and not START.search(text[end : m.start()]) and end > 0
+        mid = plain and len(raw) > 1 and end > 0 and not START.search(text[end : m.start()])
         inside += mid
-        capital.append(bool(mid and raw[0].isupper() and raw[1:].islower()))
+        capital.append(mid and raw[0].isupper() and raw[1:].islower())
         end = m.end()
     if sum(capital) > NAMES_MOST * inside:
         capital = [False] * len(tokens)

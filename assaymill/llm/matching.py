@@ -1,17 +1,18 @@
 """Matching entities across sources without keys.
 
-1. Records of both sources are reduced to attribute values: names (all spellings and synonyms, decoration such as ``(human)``
-   removed), catalogue numbers, accessions, tissue. Values consist of tokens: character bigrams and counted characters,
-   tagged with the attribute and hashed to ``VOCABULARY`` ids, so that the vocabulary is bounded by construction.
+1. Records of both sources are reduced to attribute values: names (all spellings and synonyms), catalogue numbers, accessions, tissue. Words behind a name that
+   are no part of it are learned from the names themselves: a word that mostly stands behind the whole name of some line is an affix. Values consist of tokens:
+   character bigrams and counted characters, tagged with the attribute and hashed to ``VOCABULARY`` ids, so that the vocabulary is bounded by construction.
 2. Random walks over the record-attribute-token graph start at every record; a walk leaves a token for one of ``RESERVOIR``
    records that hold it, drawn by a seeded hash. Skip-gram vectors with negative sampling are trained on the walks in every partition
    from common starting weights, and averaged by token; two rounds. A value's vector is the sum of its tokens' vectors by rarity.
 3. Blocks: names by several tables of hyperplane signs with probes of the least certain signs, whose number grows with the number
    of values; identifiers by one table of many signs (equal values have equal signs). Hashing works on distinct values, so a value shared by any
    number of records is hashed once.
-4. Candidates are reranked exactly: edit distance of names, equality or near equality of identifiers, tissue, marks of sublines.
-   The evidence decides; the confidence also takes in the cosine of the vectors, calibrated by a logistic curve fitted on a bounded
-   sample of pairs whose identifiers decide.
+4. Candidates are reranked exactly: per attribute the cosine of the values' vectors and whether they are equal or one edit apart give a level of agreement.
+5. The levels are calibrated: a mixture of four latent classes (the same line, namesakes and derived lines, wrong identifiers, unrelated) is fitted by
+   expectation-maximisation to the counts of all candidate pairs' patterns of levels and affixes. The probability of the first class is the confidence; it decides.
+   No weight is set by hand.
 
 Defined cases: missing values, blanks and placeholders are no evidence; records without any usable value match nothing; exact repeats count
 once; several rows of one record are merged; a record gets its best line, ties to the smaller id; empty tables give an empty result.
@@ -39,29 +40,33 @@ STEP = 128  #: records per gradient step
 NAME_TABLES, PROBES = 24, 4
 ID_BITS = 60
 SHARED = 64  #: lines sharing a value beyond which they are joined in blocks of this size
-CALIBRATION_PAIRS = 20_000
+#: Edges of the cosine levels of near and of different values; equal values are the tenth level.
+NEAR_COSINES, FAR_COSINES, LEVELS = (0.7, 0.8, 0.9), (0.5, 0.6, 0.7, 0.8), 10
+PRIOR = 4.0  #: pairs that a class's starting idea of an attribute counts for
+AFFIX_SHARE, AFFIX_LEAST, AFFIX_TAILS = 0.002, 3, 0.5
 
-#: Decoration of a name that does not change which line is meant, and marks of a derived line.
-DECORATION = re.compile(r"\s*(\(human\)|\(mouse\)|\[[A-Z]{2,5}\]|\bcells?( line)?\b)\s*", re.I)
-SUBLINE = re.compile(r"(\s+luc|\s+gfp|/DX|[-_ ]R\d*|(?<=\d)R\d*|\s+subline|\s+clone\s*\w*)\s*$", re.I)
-
-#: Evidence in units of log-odds (exact or equal, near, conflicting); a missing value counts nothing.
-WEIGHTS = {"name": (4.0, 1.5, -4.0), "number": (5.0, 3.5, -4.0), "accession": (5.0, 3.5, -4.0)}
-TISSUE = (1.5, -1.5)
-DERIVED = -8.0
-THRESHOLD = 3.25
 
 
 def plain(s: str | None) -> str:
     return re.sub(r"[^A-Z0-9]", "", (s or "").upper())
 
 
-def name_value(s: str | None) -> tuple[str, bool]:
-    """Bare name and whether it marks a derived line."""
-    if not s or s.strip().upper() in PLACEHOLDERS:
-        return "", False
-    s = DECORATION.sub(" ", s).strip()
-    return plain(SUBLINE.sub("", s)), bool(SUBLINE.search(s))
+WORD = re.compile(r"[^\W\d_]+\d*|\d+")
+
+
+def words(s: str | None) -> list[str]:
+    """Words of a name: letters with the digits behind them, or digits; none for a placeholder."""
+    return [] if not s or s.strip().upper() in PLACEHOLDERS else WORD.findall(s.upper())
+
+
+def shape(word: str) -> str:
+    return re.sub(r"\d+", "#", word)
+
+
+def split_name(ws: list[str], affixes: frozenset[str] | set[str]) -> tuple[str, list[str]]:
+    """Bare name and the affixes behind it."""
+    at = next((i for i in range(1, len(ws)) if shape(ws[i]) in affixes), len(ws))
+    return plain("".join(ws[:at])), sorted({shape(w) for w in ws[at:] if shape(w) in affixes})
 
 
 def number_value(s: str | None) -> str:
@@ -74,33 +79,61 @@ def accession_value(s: str | None) -> str:
     return "" if (s or "") in PLACEHOLDERS else re.sub(r"^(RRID)?(CVCL)?", "", s)
 
 
-def _records(side: str):
-    """(rid, names, spelled, numbers, accessions, tissues) rows of raw attribute columns."""
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, names, number, accession, tissue) of raw attribute columns: names as their words joined by blanks."""
+    for b in batches:
+        out: list[list] = [[] for _ in range(5)]
+        for rid, names, number, accession, tissue in zip(*(b.column(i).to_pylist() for i in range(5))):
+            spelled = sorted({" ".join(w) for n in names or [] for x in re.split(r"[;,|]", n or "") if (w := words(x))})
+            if number and "CVCL" in number.upper():  # an accession in the wrong column
+                number, accession = "", accession or number
+            if accession and accession.upper().startswith("COSMIC"):
+                number, accession = number or accession, ""
+            v = number_value(number), accession_value(accession), plain(tissue)
+            for col, x in zip(out, (rid, spelled, *[[x] if x and x not in PLACEHOLDERS else [] for x in v])):
+                col.append(x)
+        kinds = [pa.string(), *[pa.list_(pa.string())] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rid", "names", "number", "accession", "tissue"])
+
+
+def spelled_records(rows: DataFrame, side: str, rid, names: list[str], number: str, accession: str, tissue: str) -> DataFrame:
+    """One row per record: side, rid and the sorted distinct values of each attribute; names are spelled out with their affixes."""
+    src = rows.select(rid.alias("rid"), F.array(*[F.col(n) for n in names]).alias("names"), number, accession, tissue).filter("rid IS NOT NULL").distinct()
+    parsed = src.mapInArrow(_spelled, "rid string, names array<string>, number array<string>, accession array<string>, tissue array<string>")
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return parsed.groupBy("rid").agg(*[merged(c) for c in ("names", "number", "accession", "tissue")]).withColumn("side", F.lit(side))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for rid, names, number, accession, tissue in zip(*(b.column(i).to_pylist() for i in range(5))):
-                spelled = [name_value(x) for n in names or [] for x in re.split(r"[;,|]", n or "")]
-                if number and "CVCL" in number.upper():  # an accession in the wrong column
-                    number, accession = "", accession or number
-                if accession and accession.upper().startswith("COSMIC"):
-                    number, accession = number or accession, ""
-                v = number_value(number), accession_value(accession), plain(tissue)
-                for col, x in zip(out, (rid, sorted({n for n, _ in spelled if n}), any(m for n, m in spelled if n), *[[x] if x and x not in PLACEHOLDERS else [] for x in v])):
-                    col.append(x)
-            kinds = [pa.string(), pa.list_(pa.string()), pa.bool_(), *[pa.list_(pa.string())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rid", "name", "derived", "number", "accession", "tissue"])
 
-    return run
+def learned_affixes(recs: DataFrame) -> list[str]:
+    """Shapes of words that are no part of a name: most names that have one are, up to some word before it, the whole name of a line.
 
+    Only shapes in at least AFFIX_SHARE of the names (and AFFIX_LEAST of them) are considered, so at most some hundreds, whatever the number of records.
+    """
+    names = recs.select("side", F.explode("names").alias("n")).distinct()
+    ws = F.split("n", " ")
+    whole = names.filter("side = 'L'").select(F.regexp_replace("n", " ", "").alias("core")).distinct()
+    heads = names.select("n", ws.alias("ws")).filter(F.size("ws") > 1).distinct().select("n", "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - 1)).alias("i"))
+    known = heads.withColumn("core", F.array_join(F.slice("ws", F.lit(1), F.col("i")), "")).join(whole, "core", "left_semi").groupBy("n").agg(F.min("i").alias("head"))
+    at = names.select("n", ws.alias("ws")).distinct().join(known, "n", "left").select(F.posexplode("ws").alias("i", "w"), "head").filter("i > 0")
+    per = at.groupBy(F.regexp_replace("w", r"\d+", "#").alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i") >= F.col("head")).alias("tails"))
+    n = names.count()
+    found = per.filter((F.col("n") >= max(AFFIX_LEAST, AFFIX_SHARE * n)) & (F.col("tails") >= AFFIX_TAILS * F.col("n")) & F.col("shape").rlike("[^#]"))
+    return sorted(r["shape"] for r in found.select("shape").collect())
 
-def records(rows: DataFrame, side: str, rid, names: list[str], number: str, accession: str, tissue: str) -> DataFrame:
-    """One row per record: side, rid, derived and the sorted distinct values of each attribute."""
-    src = rows.select(rid.alias("rid"), F.array(*[F.col(n) for n in names]).alias("names"), number, accession, tissue).filter("rid IS NOT NULL").distinct()
-    parsed = src.mapInArrow(_records(side), "rid string, name array<string>, derived boolean, number array<string>, accession array<string>, tissue array<string>")
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-    return parsed.groupBy("rid").agg(merged("name"), F.max("derived").alias("derived"), merged("number"), merged("accession"), merged("tissue")).withColumn("side", F.lit(side))
+
+def bare_records(spelled: DataFrame, affixes: list[str]) -> DataFrame:
+    """Records with bare names and the affixes met in any of their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frozenset(affixes)
+        for b in batches:
+            split = [[split_name(n.split(" "), known) for n in ns] for ns in b.column("names").to_pylist()]
+            # a name with affixes is kept whole as well, as what looks like an affix may be a part of it
+            name = pa.array([sorted({v for n, (bare, _) in zip(ns, x) for v in (bare, plain(n)) if v}) for ns, x in zip(b.column("names").to_pylist(), split)], pa.list_(pa.string()))
+            affix = pa.array([sorted({a for _, t in x for a in t}) for x in split], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), name, affix, *[b.column(c) for c in ("number", "accession", "tissue", "side")]], ["rid", "name", "affix", "number", "accession", "tissue", "side"])
+
+    return spelled.select("rid", "names", "number", "accession", "tissue", "side").mapInArrow(run, "rid string, name array<string>, affix array<string>, number array<string>, accession array<string>, tissue array<string>, side string")
 
 
 def tokens(attribute: str, value: str) -> list[int]:
@@ -369,23 +402,16 @@ def agreement(a: list[str], b: list[str], near: int = 1) -> int | None:
     return 1 if min(edits(x, y, near) for x in a for y in b) <= near else 0
 
 
-def evidence(p: dict, q: dict) -> tuple[float, bool]:
-    """Log-odds of a passport record and a line, and whether the identifiers alone decide."""
-    total, ids = 0.0, []
-    for a, (equal, near, conflict) in WEIGHTS.items():
-        g = agreement(p[a], q[a])
-        if g is not None:
-            total += (conflict, near, equal)[g]
-            if a != "name":
-                ids.append(g)
-    if p["tissue"] and q["tissue"]:
-        total += TISSUE[0] if set(p["tissue"]) & set(q["tissue"]) else TISSUE[1]
-    if p["derived"] != q["derived"] and not (2 in ids and 0 not in ids):
-        total += DERIVED
-    return total, bool(ids) and (all(g == 2 for g in ids) or all(g == 0 for g in ids))
+def level(grade: int | None, cosine: float) -> int:
+    """Level of agreement: -1 for a missing value, different values by cosine (0-4), near ones by cosine (5-8), equal ones (9)."""
+    if grade is None:
+        return -1
+    return 9 if grade == 2 else 5 + int(np.searchsorted(NEAR_COSINES, cosine)) if grade == 1 else int(np.searchsorted(FAR_COSINES, cosine))
 
 
 def _rerank(shared):
+    """Exact comparison of candidate pairs: cosines and edit grades of each attribute as levels, and the affixes that one side alone has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, rarity = shared.value
         known: dict[tuple[str, str], np.ndarray] = {}
@@ -398,15 +424,16 @@ def _rerank(shared):
             return known[a, v]
 
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(8)]
             for row in b.to_pylist():
-                p, q = ({a: row[f"{s}_{a}"] for a in (*ATTRIBUTES, "derived")} for s in "pl")
-                e, decided = evidence(p, q)
-                cos = [max(float(vec(a, x) @ vec(a, y)) for x in p[a] for y in q[a]) for a in ATTRIBUTES if p[a] and q[a]]
-                for col, x in zip(cols, (row["prid"], row["lrid"], e, sum(cos) / len(cos) if cos else 0.0, decided)):
+                p, q = ({a: row[f"{s}_{a}"] for a in (*ATTRIBUTES, "affix")} for s in "pl")
+                cos = {a: max(float(vec(a, x) @ vec(a, y)) for x in p[a] for y in q[a]) for a in ATTRIBUTES if p[a] and q[a]}
+                levels = [level(agreement(p[a], q[a]), cos.get(a, 0.0)) for a in ATTRIBUTES]
+                apart = " ".join(sorted(set(p["affix"]) ^ set(q["affix"])))
+                for col, x in zip(cols, (row["prid"], row["lrid"], *levels, apart, round(sum(cos.values()) / len(cos), 9) if cos else 0.0)):
                     col.append(x)
-            kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["prid", "lrid", "evidence", "cosine", "decided"])
+            kinds = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["prid", "lrid", *ATTRIBUTES, "apart", "cosine"])
 
     return run
 
@@ -431,7 +458,7 @@ def candidates(recs: DataFrame, pairs: DataFrame) -> DataFrame:
     plain_pairs = pairs.join(few, value).join(asked, ["attribute", "pvalue"]).select("prid", "lrid")
     if not crowd.limit(1).count():
         return plain_pairs.distinct()
-    alike = recs.filter("side = 'L'").groupBy(*ATTRIBUTES, "derived").agg(F.min("rid").alias("lrid")).select("lrid")
+    alike = recs.filter("side = 'L'").groupBy(*ATTRIBUTES, "affix").agg(F.min("rid").alias("lrid")).select("lrid")
     many = settle(lines.join(crowd.select(*value), value).join(alike, "lrid", "left_semi"))
     blocks = many.groupBy(*value).agg(F.ceil(F.count(F.lit(1)) / SHARED).cast("int").alias("blocks"))
     stored = many.join(blocks, value).select(*value, "lrid", F.pmod(F.xxhash64("lrid"), F.col("blocks")).cast("int").alias("block"))
@@ -439,42 +466,80 @@ def candidates(recs: DataFrame, pairs: DataFrame) -> DataFrame:
     return plain_pairs.unionByName(met.join(stored, [*value, "block"]).select("prid", "lrid")).distinct()
 
 
-def calibrate(scored: DataFrame) -> tuple[float, float]:
-    """Slope and offset of a logistic curve from cosine to the probability of a match, fitted on at most CALIBRATION_PAIRS pairs whose
-    identifiers decide (all equal, or all in conflict), drawn by hash."""
-    sample = scored.filter("decided").select("cosine", (F.col("evidence") > 0).alias("y"), F.xxhash64("prid", "lrid").alias("h")).orderBy("h").limit(CALIBRATION_PAIRS).collect()
-    x, y = np.array([r["cosine"] for r in sample]), np.array([float(r["y"]) for r in sample])
-    if len(set(y.tolist())) < 2:
-        return 8.0, -4.0
-    a = b = 0.0
-    for _ in range(50):  # Newton steps with a little ridge
-        p = 1 / (1 + np.exp(-(a * x + b)))
-        w = p * (1 - p)
-        g = np.array([(x * (y - p)).sum() - 0.1 * a, (y - p).sum()])
-        h = np.array([[(x * x * w).sum() + 0.1, (x * w).sum()], [(x * w).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
-        if abs(step).max() < 1e-9:
-            break
-    return float(a), float(b)
+def first_guess(x: np.ndarray) -> np.ndarray:
+    """Starting class of each pattern: 0 same line, 1 namesake or derived line, 2 wrong identifier, 3 unrelated."""
+    name, ids = x[:, 0], x[:, 1:3]
+    low = lambda c: (c >= 0) & (c <= 4)
+    conflict = low(ids).any(1)
+    same = ((x[:, :3] >= 5).sum(1) + (x[:, 3] == 9) >= 2) & ~low(name) & ~conflict
+    sharing = (ids == 9).any(1) & low(name)
+    return np.select([same, (name == 9) & conflict, sharing], [0, 1, 2], 3)
 
 
-def match(lines: DataFrame, passports: DataFrame) -> DataFrame:
-    """(sanger_model_id, model_id, confidence, evidence, cosine): each passport record's best line with enough evidence."""
-    left = records(lines, "L", strict_id("sanger_model_id"), ["cell_line_name", "gdsc_cell_line_name", "synonyms"], "cosmic_id", "cellosaurus_accession", "oncotree_lineage")
-    right = records(passports, "P", F.nullif(trimmed("model_id"), F.lit("")), ["model_name", "synonyms"], "cosmic_id", "rrid", "tissue")
-    recs = settle(left.unionByName(right))
+def latent_classes(x: np.ndarray, apart: list[str], n: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """P(same line) of each pattern of levels (patterns, attributes) seen ``n`` times; expectation-maximisation over four latent classes.
+
+    Within a class the attributes' levels and the affixes set apart are independent; a missing value says nothing. Each class's levels are smoothed by
+    the levels of all pairs and, so that a handful of records is judged sensibly too, by PRIOR pairs of the class's starting idea.
+    """
+    marks: list[np.ndarray] = []
+    for a in sorted({a for s in apart for a in s.split(" ") if a}):
+        has = np.array([a in s.split(" ") for s in apart])
+        if all((n * (has & m)).sum() < 0.5 * (n * (has | m)).sum() for m in marks):  # words that go together, such as two of one phrase, are one mark
+            marks.append(has)
+    cols = [*x.T, *[m.astype(np.int64) for m in marks]]
+    r = np.zeros((len(n), 4))
+    r[np.arange(len(n)), first_guess(x)] = 1
+    # starting ideas of names, numbers and accessions, by class
+    idea = {"same": np.r_[np.full(5, 0.01), np.full(4, 0.05), 0.75], "other": np.r_[np.full(5, 0.19), np.full(4, 0.01), 0.01]}
+    hints = [[idea[k] for k in ks] for ks in (("same", "same", "other", "other"), ("same", "other", "same", "other"), ("same", "other", "same", "other"))]
+    ll = np.zeros_like(r)
+    for _ in range(rounds):
+        w = r * n[:, None]
+        ll[:] = np.log((w.sum(0) + 1) / (w.sum() + 4))
+        for j, c in enumerate(cols):
+            there = c >= 0
+            size = LEVELS if j < 4 else 2
+            t = np.zeros((size, 4))
+            np.add.at(t, c[there], w[there])
+            if j < 3:
+                t += PRIOR * np.stack(hints[j], 1)
+            overall = (t.sum(1, keepdims=True) + 0.01) / (t.sum() + 0.01 * size)
+            t = (t + 2 * overall) / (t.sum(0) + 2)
+            ll[there] += np.log(t[c[there]])
+        new = np.exp(ll - ll.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        moved, r = float((np.abs(new - r) * n[:, None]).sum()), new
+        if moved < 1e-6 * n.sum():
+            break
+    return r[:, 0]
+
+
+def judged(scored: DataFrame) -> DataFrame:
+    """scored with ``confidence``: the calibrated probability of its pattern. The driver sees patterns, whose number is bounded by the levels (11 to the third, times
+    three) and the sets of affixes met, not pairs."""
+    keys = [*ATTRIBUTES, "apart"]
+    seen = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(*keys).collect()
+    if not seen:
+        return scored.withColumn("confidence", F.lit(0.0))
+    p = latent_classes(np.array([[r[a] for a in ATTRIBUTES] for r in seen]), [r["apart"] for r in seen], np.array([r["n"] for r in seen], np.float64))
+    spark = scored.sparkSession
+    table = spark.createDataFrame([(*[r[k] for k in keys], float(x)) for r, x in zip(seen, p)], ", ".join(f"{a} int" for a in ATTRIBUTES) + ", apart string, confidence double")
+    return scored.join(F.broadcast(table), keys)
+
+
+def match(lines: DataFrame, passports: DataFrame, least: float = 0.5) -> DataFrame:
+    """(sanger_model_id, model_id, confidence, cosine): each passport record's most probable line, if it is more probable than not."""
+    left = spelled_records(lines, "L", strict_id("sanger_model_id"), ["cell_line_name", "gdsc_cell_line_name", "synonyms"], "cosmic_id", "cellosaurus_accession", "oncotree_lineage")
+    right = spelled_records(passports, "P", F.nullif(trimmed("model_id"), F.lit("")), ["model_name", "synonyms"], "cosmic_id", "rrid", "tissue")
+    spelled = settle(left.unionByName(right))
+    recs = settle(bare_records(spelled, learned_affixes(spelled)))
     vectors, rarity = token_vectors(recs)
     pairs = settle(candidates(recs, settle(value_pairs(recs, vectors, rarity))))
     shared = recs.sparkSession.sparkContext.broadcast((vectors, rarity))
-    full = lambda side, s: recs.filter(F.col("side") == side).select(F.col("rid").alias(f"{s}rid"), *[F.col(a).alias(f"{s}_{a}") for a in (*ATTRIBUTES, "derived")])
+    full = lambda side, s: recs.filter(F.col("side") == side).select(F.col("rid").alias(f"{s}rid"), *[F.col(a).alias(f"{s}_{a}") for a in (*ATTRIBUTES, "affix")])
     met = pairs.join(full("P", "p"), "prid").join(full("L", "l"), "lrid").repartition(parts(recs), "prid", "lrid")
-    scored = settle(met.mapInArrow(_rerank(shared), "prid string, lrid string, evidence double, cosine double, decided boolean"))
-    a, b = calibrate(scored)
-    from_cosine = 1 / (1 + F.exp(-(F.col("cosine") * a + b)))
-    from_evidence = 1 / (1 + F.exp(-(F.col("evidence") - THRESHOLD)))
-    w = Window.partitionBy("prid").orderBy(F.desc("evidence"), F.desc("cosine"), "lrid")
-    top = scored.filter(F.col("evidence") >= THRESHOLD).withColumn("r", F.row_number().over(w)).filter("r = 1")
-    return top.select(
-        F.col("lrid").alias("sanger_model_id"), F.col("prid").alias("model_id"), F.round(0.8 * from_evidence + 0.2 * from_cosine, 4).alias("confidence"), "evidence", F.round("cosine", 4).alias("cosine")
-    )
+    scored = settle(met.mapInArrow(_rerank(shared), "prid string, lrid string, " + ", ".join(f"{a} int" for a in ATTRIBUTES) + ", apart string, cosine double"))
+    w = Window.partitionBy("prid").orderBy(F.desc("confidence"), F.desc("cosine"), "lrid")
+    top = judged(scored).filter(F.col("confidence") > least).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    return top.select(F.col("lrid").alias("sanger_model_id"), F.col("prid").alias("model_id"), F.round("confidence", 4).alias("confidence"), F.round("cosine", 4).alias("cosine"))

@@ -32,4 +32,6 @@ def test_recall_and_reports(spark):
     shares = {r["source"]: r for r in Q.p8_shares(spark, SF).collect()}
     assert all(r["most_repeats"] <= r["max_repeats"] for r in shares.values())
     assert Q.p9_composition(spark, SF).count() > 0 and Q.p7_leaked_items(spark, SF).count() == 160
+    assert all(r["within"] for r in Q.p8_gap(spark, SF).collect()) and all(r["within"] for r in Q.p5_gap(spark, SF).collect())
+    assert Q.p7_reparameterised(spark, SF).columns == ["doc_id", "item_id", "covered", "renamed"]
     assert Q.p5_shares(spark, SF).count() > 0 and Q.p2_matches(spark, SF).filter("confidence <= 0 OR confidence > 1").count() == 0
