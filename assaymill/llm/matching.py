@@ -397,7 +397,7 @@ def agreement(a: list[str], b: list[str], near: int = 1) -> int | None:
     """2 equal, 1 near, 0 conflicting, None when either side has no value."""
     if not a or not b:
         return None
-    if set(a) & set(b):
+    if not set(a).isdisjoint(b):
         return 2
     return 1 if min(edits(x, y, near) for x in a for y in b) <= near else 0
 
@@ -423,14 +423,22 @@ def _rerank(shared):
                 known[a, v] = value_vector(a, v, vectors, rarity)
             return known[a, v]
 
+        def compared(a: str, xs: list[str], ys: list[str]) -> tuple[int | None, float]:
+            """Grade and cosine of two lists of values; equal values have cosine 1, so they need no vectors."""
+            grade = agreement(xs, ys)
+            if grade is None or grade == 2:
+                return grade, 1.0
+            return grade, max(float(vec(a, x) @ vec(a, y)) for x in xs for y in ys)
+
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
-            for row in b.to_pylist():
-                p, q = ({a: row[f"{s}_{a}"] for a in (*ATTRIBUTES, "affix")} for s in "pl")
-                cos = {a: max(float(vec(a, x) @ vec(a, y)) for x in p[a] for y in q[a]) for a in ATTRIBUTES if p[a] and q[a]}
-                levels = [level(agreement(p[a], q[a]), cos.get(a, 0.0)) for a in ATTRIBUTES]
-                apart = " ".join(sorted(set(p["affix"]) ^ set(q["affix"])))
-                for col, x in zip(cols, (row["prid"], row["lrid"], *levels, apart, round(sum(cos.values()) / len(cos), 9) if cos else 0.0)):
+            sides = [[b.column(f"{s}_{a}").to_pylist() for a in (*ATTRIBUTES, "affix")] for s in "pl"]
+            ids = b.column("prid").to_pylist(), b.column("lrid").to_pylist()
+            for i in range(b.num_rows):
+                seen = [compared(a, sides[0][k][i], sides[1][k][i]) for k, a in enumerate(ATTRIBUTES)]
+                cos = [c for g, c in seen if g is not None]
+                apart = set(sides[0][-1][i]) ^ set(sides[1][-1][i])
+                for col, x in zip(cols, (ids[0][i], ids[1][i], *[level(g, c) for g, c in seen], " ".join(sorted(apart)), round(sum(cos) / len(cos), 9) if cos else 0.0)):
                     col.append(x)
             kinds = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["prid", "lrid", *ATTRIBUTES, "apart", "cosine"])
