@@ -15,6 +15,15 @@ from assaymill.operators.blocks import blocks
 from assaymill.operators.ranks import top_k
 
 
+BLOCK_BYTES = 1 << 26  #: of a block of columns in one task
+SET_ROWS = 200_000  #: set members up to which a collection is broadcast
+
+
+def small(d: DataFrame, most: int = SET_ROWS) -> DataFrame:
+    """The table, broadcast if it is counted to be small."""
+    return F.broadcast(d) if d.limit(most + 1).count() <= most else d
+
+
 def long_matrix(vectors: DataFrame, entity: str, values: str) -> DataFrame:
     """(entity, pos, x): one row per element; NaN and infinities become missing, which is not zero."""
     return vectors.select(entity, F.posexplode(values).alias("pos", "_x")).select(entity, "pos", finite(F.col("_x").cast("double")).alias("x"))
@@ -35,6 +44,10 @@ def fit(train: DataFrame, entity: str, by: list[str] | None = None, max_missing:
     mean = (n * F.col("_m") + k * F.col("median")) / all_
     ss = n * (F.col("_v") + (F.col("_m") - mean) ** 2) + k * (F.col("median") - mean) ** 2
     a = a.select(*by, "pos", "missing", "median", mean.alias("mean"), F.when(all_ > 1, ss / F.nullif(all_ - 1, F.lit(0.0))).alias("variance"))
+    return _kept(a, by, max_missing, min_variance, top)
+
+
+def _kept(a: DataFrame, by: list[str], max_missing: float, min_variance: float, top: int | None) -> DataFrame:
     kept = F.coalesce((F.col("missing") < max_missing) & (F.col("variance") > min_variance), F.lit(False))
     a = a.withColumn("kept", kept).withColumn("sd", F.when(F.sqrt("variance") > min_variance, F.sqrt("variance")).otherwise(1.0))
     if top is None:
@@ -43,6 +56,66 @@ def fit(train: DataFrame, entity: str, by: list[str] | None = None, max_missing:
     return a.withColumn("selected", F.col("kept") & (F.row_number().over(w) <= top))
 
 
+def fit_matrix(vectors: DataFrame, entity: str, values: str, test_fold: str, folds: int, max_missing: float = 0.5, min_variance: float = 1e-8, top: int | None = None, most: int = BLOCK_BYTES) -> DataFrame:
+    """As ``fit`` for every fold (training rows: those of the other folds), from whole vectors instead of single elements.
+
+    Entities are deduplicated before anything is spread. Vectors are cut into blocks of columns, each column travels once whatever the number of folds, and a block's
+    statistics are array operations. The width of a block follows from the counted rows, so that a block stays within ``most`` bytes; tables of so many rows that
+    one column does not fit take the element-wise path of ``fit``, whose aggregates are partial.
+    """
+    rows = vectors.select(entity, F.col(test_fold).cast("int").alias("fold"), F.col(values).cast("array<double>").alias("v")).filter("v IS NOT NULL").dropDuplicates([entity])
+    n = rows.count()
+    if n * 8 > most:
+        long = rows.select(entity, "fold", F.posexplode("v").alias("pos", "_x")).select(entity, F.col("fold").alias("_t"), "pos", finite("_x").alias("x"))
+        each = long.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("fold <> _t").drop("_t")
+        return fit(each, entity, ["fold"], max_missing, min_variance, top)
+    width = max(1, min(256, most // (8 * max(1, n))))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            sizes = lists.value_lengths().to_numpy()
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            fold = b.column(0).to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            for size in np.unique(sizes):  # vectors of one length are a matrix
+                who = np.flatnonzero(sizes == size)
+                m = flat[at[who][:, None] + np.arange(size)]
+                m[~np.isfinite(m)] = np.nan
+                cols = range(0, int(size), width)
+                yield pa.RecordBatch.from_arrays([pa.array([c // width for c in cols], pa.int32()), pa.array([fold[who].astype(np.int32).tobytes()] * len(cols), pa.binary()), pa.array([np.ascontiguousarray(m[:, c : c + width]).tobytes() for c in cols], pa.binary())], ["block", "folds", "m"])
+
+    def stat(t: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(6)]
+        if t.num_rows:
+            parts = [(np.frombuffer(f, np.int32), np.frombuffer(x, np.float64)) for f, x in zip(t.column("folds").to_pylist(), t.column("m").to_pylist())]
+            wide = max(len(x) // len(f) for f, x in parts)
+            m = np.concatenate([np.pad(x.reshape(len(f), -1), ((0, 0), (0, wide - len(x) // len(f))), constant_values=np.nan) for f, x in parts])
+            fold = np.concatenate([f for f, _ in parts])
+            there = np.concatenate([np.repeat(np.arange(wide)[None, :] < len(x) // len(f), len(f), 0) for f, x in parts])
+            for k in range(folds):
+                x, has = m[fold != k], there[fold != k]
+                total = has.sum(0)
+                with np.errstate(all="ignore"):
+                    s = np.sort(x, axis=0)  # missing values come last
+                    count = (~np.isnan(x)).sum(0)
+                    j = np.arange(wide)
+                    median = np.where(count > 0, (s[np.maximum((count - 1) // 2, 0), j] + s[np.minimum(count // 2, len(s) - 1), j]) / 2, np.nan) if len(s) else np.full(wide, np.nan)
+                    filled = np.where(has & np.isnan(x), median, x)
+                    mean = np.nansum(filled, 0) / total
+                    variance = np.nansum((filled - mean) ** 2, 0) / (total - 1)
+                    missing = (total - count) / total
+                ok = total > 0
+                for col, v in zip(out, (np.full(wide, k), j + width * t.column("block")[0].as_py(), missing, median, np.where(count > 0, mean, np.nan), np.where((total > 1) & (count > 0), variance, np.nan))):
+                    col.append(v[ok])
+        kinds = [pa.int32(), pa.int32(), *[pa.float64()] * 4]
+        return pa.table({n: pa.array(np.concatenate(c) if c else [], k, from_pandas=True) for n, c, k in zip(("fold", "pos", "missing", "median", "mean", "variance"), out, kinds)})
+
+    blocks_ = rows.select("fold", "v").mapInArrow(cut, "block int, folds binary, m binary")
+    a = blocks_.groupBy("block").applyInArrow(stat, "fold int, pos int, missing double, median double, mean double, variance double")
+    return _kept(a, ["fold"], max_missing, min_variance, top)
+
+
 def transform(rows: DataFrame, state: DataFrame, by: list[str] | None = None, scale: bool = True) -> DataFrame:
     """Apply saved training statistics only: impute, then standardise, the selected positions."""
     by = by or []
@@ -65,7 +138,7 @@ def set_coverage(sets: DataFrame, measurable: DataFrame, least: int = 10) -> Dat
 
 def set_scores(rows: DataFrame, sets: DataFrame, entity: list[str], value: str = "z", impute: bool = True) -> DataFrame:
     """Mean of the members per entity and set; without imputation one missing member makes the score missing."""
-    m = rows.join(F.broadcast(sets.select("set_name", F.col("member").alias("pos"))), "pos")  # a published collection of some thousand rows
+    m = rows.join(small(sets.select("set_name", F.col("member").alias("pos"))), "pos")
     score = F.avg(value) if impute else F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
     return m.groupBy(*entity, "set_name").agg(score.alias("score"))
 
@@ -76,7 +149,7 @@ def set_overlap(sets: DataFrame) -> DataFrame:
     size = s.groupBy("set_name").agg(F.count(F.lit(1)).alias("n"))
     shared = s.withColumnRenamed("set_name", "set_a").join(s.withColumnRenamed("set_name", "set_b"), "member").groupBy("set_a", "set_b").agg(F.count(F.lit(1)).alias("shared"))
     a, b = (size.select(F.col("set_name").alias(f"set_{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    every = a.crossJoin(F.broadcast(b))  # sets of one published collection
+    every = a.crossJoin(small(b))  # the pairs of sets are the result
     return every.join(shared, ["set_a", "set_b"], "left").select("set_a", "set_b", F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) / (F.col("na") + F.col("nb") - F.coalesce("shared", F.lit(0)))).alias("jaccard"))
 
 

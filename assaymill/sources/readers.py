@@ -110,9 +110,11 @@ def empty_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
 
 
 def inventory_chunked(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """As ``inventory``, streaming every file in 1 MiB pieces; for files of any size on a shared file system."""
+    """As ``inventory``, streaming every file in 1 MiB pieces; for files of any size, on any file system Arrow opens by its URI (local, HDFS, object stores)."""
     import hashlib
 
+    from pyarrow import fs
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,7 +122,8 @@ def inventory_chunked(spark: SparkSession, root: str, pattern: str = "*") -> Dat
             sums = []
             for p in b["path"]:
                 h = hashlib.sha256()
-                with open(p.removeprefix("file:"), "rb") as f:
+                system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", p))
+                with system.open_input_stream(path) as f:
                     while piece := f.read(1 << 20):
                         h.update(piece)
                 sums.append(h.hexdigest())

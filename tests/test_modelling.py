@@ -122,6 +122,18 @@ def test_fit_uses_training_rows_only_and_imputes_medians(spark):
     assert z.filter("pos = 0").agg(F.round(F.sum("z"), 9)).first()[0] == 0.0
 
 
+def test_fits_of_whole_vectors_equal_those_of_elements(spark):
+    rng = np.random.default_rng(8)
+    data = [(i % 53, i % 3, [None if rng.random() < 0.2 else float("nan") if rng.random() < 0.1 else float(rng.integers(0, 5)) for _ in range(9 if i % 7 else 5)]) for i in range(53)]
+    d = spark.createDataFrame(data + data[:4] + [(99, 0, None), (98, 1, [])], "e int, t int, v array<double>").repartition(4)
+    got, far = ({(r["fold"], r["pos"]): r for r in E.fit_matrix(d, "e", "v", "t", 3, top=4, most=m).collect()} for m in (1 << 20, 8))
+    assert set(got) == set(far) and len(got) == 27
+    for k, r in got.items():
+        assert (r["kept"], r["selected"]) == (far[k]["kept"], far[k]["selected"])
+        assert all(r[c] == pytest.approx(far[k][c], abs=1e-9) for c in ("missing", "median", "mean", "variance", "sd"))
+    assert E.fit_matrix(d.limit(0), "e", "v", "t", 3).count() == 0
+
+
 def test_top_positions_break_ties_by_position(spark):
     m = E.long_matrix(spark.createDataFrame([(0, [0.0, 0.0, 0.0]), (1, [1.0, 1.0, 2.0])], "e int, v array<double>"), "e", "v")
     assert [r["pos"] for r in E.fit(m, "e", top=2).filter("selected").orderBy("pos").collect()] == [0, 2]
