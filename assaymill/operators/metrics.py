@@ -76,6 +76,7 @@ def error_metrics(pred: DataFrame, by: list[str]) -> DataFrame:
 def macro(pred: DataFrame, by: list[str] | None = None, min_cells: int = 10) -> DataFrame:
     """Macro averages over the qualified compounds of each stratum (or of all rows), beside the errors."""
     by = by or []
+    pred = settle(pred.select(*{c: None for c in [*by, "compound_id", "cell_id", "y_true", "y_pred"]}))
     g = per_group(pred, [*by, "compound_id"], min_cells)
     m = g.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_drugs"), F.count_if("qualified").alias("n_qualified"), F.count_if("constant_prediction").alias("n_constant"),

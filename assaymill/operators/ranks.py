@@ -58,8 +58,11 @@ def group_ranks(df: DataFrame, by: list[str], values: dict[str, str], hot_rows:
     While every group fits a task (its size is counted), windows; otherwise counts per (group, value) summed over value ranges, in which a
     group of any size is spread. Both give the same ranks; a missing value has no rank. A caller that knows passes ``hot``.
     """
+    if hot is None:
+        df = df if hasattr(df, "_settled_at") else settle(df)  # it is read for the count and again for the ranks
+        hot = hot_groups(df, by, hot_rows)
     out = df
-    if not (hot_groups(df, by, hot_rows) if hot is None else hot):
+    if not hot:
         return out.withColumns({n: F.when(F.col(v).isNotNull(), average_rank([*by, F.col(v).isNull()], v)) for n, v in values.items()})
     for n, v in values.items():
         counts = df.filter(F.col(v).isNotNull()).groupBy(*by, v).agg(F.count(F.lit(1)).alias("_n"))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assaymill.operators.ranks import preceding
+from assaymill.session import settle
 
 
 def draw_order(seed: int, *cols: Column | str) -> Column:
@@ -48,6 +49,7 @@ def hold_out(df: DataFrame, group: str, stratum: str, member: str, ratio: float
 def dealt_folds(groups: DataFrame, n: int, seed: int) -> DataFrame:
     """(g, s, c, test_fold) for groups (g, s, c): within each stratum the groups in seeded order are dealt round robin; a stratum starts where the ones before
     it (by name) left off, so that the folds' numbers of groups differ by one at most, within a stratum and over all."""
+    groups = settle(groups)
     ranked = preceding(groups.withColumn("_h", draw_order(seed, "g")), ["s"], ["_h"], None, "_r")
     starts = groups.groupBy("s").agg(F.count(F.lit(1)).alias("_n"))
     starts = preceding(starts, [], ["s"], "_n", "_first").select(F.col("s").alias("_s"), "_first")

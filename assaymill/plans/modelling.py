@@ -215,7 +215,7 @@ def r01_hold_out(spark: S, sf: str) -> DataFrame:
 
 def r02_group_folds(spark: S, sf: str) -> DataFrame:
     """Five grouped folds, summarised per fold."""
-    d = _grouped(spark, sf)
+    d = settle(_grouped(spark, sf).select("sample_id", "cell_id", "compound_id", "cell_group", "lineage"))
     f = P.group_folds(d, "cell_group", "lineage").join(d.select("sample_id", "cell_id", "compound_id"), "sample_id")
     return f.groupBy("fold").agg(F.count_if(F.col("role") == "test").alias("n_test"), F.count_if(F.col("role") == "train").alias("n_train"), F.countDistinct(F.when(F.col("role") == "test", F.col("cell_group"))).alias("n_test_groups"))
 
@@ -279,7 +279,7 @@ def audited(f: DataFrame, keys: list[str]) -> DataFrame:
 
 def q03_fold_isolation(spark: S, sf: str) -> DataFrame:
     """Groups and cells divided by the folds built here: none, but one per fold where one is planted."""
-    d = _grouped(spark, sf)
+    d = settle(_grouped(spark, sf).select("sample_id", "cell_id", "cell_group", "lineage"))
     return audited(P.group_folds(d, "cell_group", "lineage").join(d.select("sample_id", "cell_id"), "sample_id"), ["cell_group", "cell_id"])
 
 
