@@ -39,6 +39,7 @@ WALKS, LENGTH = 4, 6
 STEP = 128  #: records per gradient step
 NAME_TABLES, PROBES = 24, 4
 ID_BITS = 60
+BUCKET = 4096  #: stored or asking values of a bucket met in one task
 SHARED = 64  #: lines sharing a value beyond which they are joined in blocks of this size
 #: Edges of the cosine levels of near and of different values; equal values are the tenth level.
 NEAR_COSINES, FAR_COSINES, LEVELS = (0.7, 0.8, 0.9), (0.5, 0.6, 0.7, 0.8), 10
@@ -281,7 +282,7 @@ def _bag(value: str) -> np.ndarray:
 
 
 def _hash_values(shared, bits: int):
-    """Codes of values; asking sides also get probes that flip their least certain signs. ``sig``: all signs of a name, then its character counts."""
+    """A row per value with its codes; asking sides also get probes that flip their least certain signs. ``sig``: all signs of a name, then its character counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, rarity = shared.value
@@ -305,15 +306,16 @@ def _hash_values(shared, bits: int):
             q = np.flatnonzero(asks[names])
             sure = np.argsort(np.abs(y[q]), axis=2)[:, :, :PROBES]
             probe = code[q][:, :, None] ^ (np.int64(1) << sure)
-            at = np.concatenate([np.repeat(names, NAME_TABLES), np.repeat(names[q], NAME_TABLES * sure.shape[2]), rest])
-            codes = np.concatenate([code.ravel(), probe.ravel(), (v[rest] @ wide > 0) @ (1 << np.arange(ID_BITS, dtype=np.int64))])
-            probes = np.zeros(len(at), bool)
-            probes[code.size : code.size + probe.size] = True
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind[at]), b.column("value").take(take), pa.array(codes), pa.array(stored[at] & ~probes), pa.array(asks[at]), pa.array(sig, pa.binary()).take(take)],
-                ["kind", "value", "code", "stored", "asks", "sig"],
-            )
+            own: list[np.ndarray] = [np.zeros(0, np.int64)] * len(value)
+            flips = own.copy()
+            for k, i in enumerate(names):
+                own[i] = code[k]
+            for k, i in enumerate(names[q]):
+                flips[i] = probe[k].ravel()
+            for i, c in zip(rest, (v[rest] @ wide > 0) @ (1 << np.arange(ID_BITS, dtype=np.int64))):
+                own[i] = np.array([c])
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs), pa.int64())) for xs in (own, flips)]
+            yield pa.RecordBatch.from_arrays([pa.array(kind), b.column("value"), pa.array(stored), pa.array(asks), pa.array(sig, pa.binary()), *lists], ["kind", "value", "stored", "asks", "sig", "own", "flips"])
 
     return run
 
@@ -323,13 +325,13 @@ def _bucket_pairs(least: float, bits: int):
     width = -(-NAME_TABLES * bits // 8)
 
     def run(table: pa.Table) -> pa.Table:
-        kind, code, stored, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "code", "stored", "asks"))
+        kind, code, cell, stored, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "code", "cell", "stored", "asks"))
         named = np.flatnonzero(kind == 0)
         place = np.zeros(len(kind), np.int64)
         place[named] = np.arange(len(named))
         flat = np.frombuffer(b"".join(table.column("sig").take(pa.array(named)).to_pylist()), np.uint8).reshape(len(named), width + BAG)
-        order = np.lexsort((kind, code))
-        cuts = np.flatnonzero((np.diff(code[order]) != 0) | (np.diff(kind[order]) != 0)) + 1
+        order = np.lexsort((cell, kind, code))
+        cuts = np.flatnonzero((np.diff(code[order]) != 0) | (np.diff(kind[order]) != 0) | (np.diff(cell[order]) != 0)) + 1
         asked, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for run_ in np.split(order, cuts) if len(order) else []:
             s, q = run_[stored[run_]], run_[asks[run_]]
@@ -368,9 +370,29 @@ def value_pairs(recs: DataFrame, vectors: np.ndarray, rarity: np.ndarray, least:
     values = settle(each.groupBy("attribute", "value").agg(F.max(F.col("side") == "P").alias("asks"), F.max(F.col("side") == "L").alias("stored")))
     n = values.filter("attribute = 'name' AND stored").count()
     bits = max(4, min(30, math.ceil(math.log2(max(n, 1) / 8 + 1))))
-    coded = values.repartition(parts(recs), "attribute", "value").mapInArrow(_hash_values(shared, bits), "kind int, value string, code bigint, stored boolean, asks boolean, sig binary")
+    coded = settle(values.repartition(parts(recs), "attribute", "value").mapInArrow(_hash_values(shared, bits), "kind int, value string, stored boolean, asks boolean, sig binary, own array<bigint>, flips array<bigint>"))
+    visit = lambda c, stored, asks: F.struct(c.alias("code"), stored.alias("stored"), asks.alias("asks"))
+    visits = F.concat(F.transform("own", lambda c: visit(c, F.col("stored"), F.col("asks"))), F.transform("flips", lambda c: visit(c, F.lit(False), F.lit(True))))
+    rows = coded.select("kind", "value", "sig", F.explode(visits).alias("x")).select("kind", "value", "sig", "x.*")
+    # a bucket of more than BUCKET values is met in pairs of blocks of its asking and its stored values, in separate tasks
+    sizes = rows.select("kind", "code", "stored", "asks").groupBy("kind", "code").agg(F.count_if("stored").alias("s"), F.count_if("asks").alias("a"))
+    big = settle(sizes.filter(F.greatest("s", "a") > BUCKET).select("kind", "code", F.ceil(F.col("s") / BUCKET).cast("int").alias("sb"), F.ceil(F.col("a") / BUCKET).cast("int").alias("ab")))
+    n_big = big.count()
+    if n_big:
+        rows = rows.join(F.broadcast(big) if n_big <= 100_000 else big, ["kind", "code"], "left")
+        place = lambda n, of: F.pmod(F.xxhash64(F.lit(of), "value"), F.greatest(F.col(n), F.lit(1)))
+        every = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+        piece = lambda cell, stored, asks: F.struct(cell.cast("bigint").alias("cell"), stored.alias("stored"), asks.alias("asks"))
+        no, yes = F.lit(False), F.lit(True)
+        as_stored = F.when(F.col("stored"), F.transform(every("ab"), lambda i: piece(i * F.col("sb") + place("sb", "s"), yes, no)))
+        as_asking = F.when(F.col("asks"), F.transform(every("sb"), lambda j: piece(place("ab", "a") * F.col("sb") + j, no, yes)))
+        none = F.array().cast("array<struct<cell: bigint, stored: boolean, asks: boolean>>")
+        pieces = F.when(F.col("sb").isNull(), F.array(piece(F.lit(0), F.col("stored"), F.col("asks")))).otherwise(F.concat(F.coalesce(as_stored, none), F.coalesce(as_asking, none)))
+        rows = rows.select("kind", "value", "sig", "code", F.explode(pieces).alias("p")).select("kind", "value", "sig", "code", "p.*")
+    else:
+        rows = rows.withColumn("cell", F.lit(0).cast("bigint"))
     bundles = max(1, values.count() * NAME_TABLES // 4000)
-    met = coded.groupBy(F.pmod(F.xxhash64("kind", "code"), F.lit(bundles)).alias("bundle")).applyInArrow(_bucket_pairs(least, bits), "attribute string, pvalue string, lvalue string")
+    met = rows.groupBy(F.pmod(F.xxhash64("kind", "code", "cell"), F.lit(bundles)).alias("bundle")).applyInArrow(_bucket_pairs(least, bits), "attribute string, pvalue string, lvalue string")
     return met.distinct()
 
 

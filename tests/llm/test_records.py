@@ -244,6 +244,14 @@ def test_matching_empty_tables(spark):
     assert M.match(spark.createDataFrame([("SIDM1", "AB-1", None, None, None, None, None, "s")], LINE), spark.createDataFrame([], PASS)).count() == 0
 
 
+def test_large_buckets_of_values_are_met_in_blocks_without_loss(spark, monkeypatch):
+    lines, asked = others(90)
+    l, p = spark.createDataFrame(lines, LINE), spark.createDataFrame(asked, PASS)
+    whole = rows(M.match(l, p).select("model_id", "sanger_model_id"))
+    monkeypatch.setattr(M, "BUCKET", 3)
+    assert rows(M.match(l, p).select("model_id", "sanger_model_id")) == whole and len(whole) > 60
+
+
 def others(n):
     """Lines of other names and their records, some with a mistyped number or accession, from which levels are calibrated."""
     lines, asked = [], []
