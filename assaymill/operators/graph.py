@@ -29,16 +29,29 @@ def k_core(edges: DataFrame, a: str, b: str, min_b_per_a: int, min_a_per_b: int,
     return live, False, sizes
 
 
+def rigid(members: list[tuple[str, str]]) -> bool:
+    """Whether no two edges can be swapped: the sets' members are nested, so no other graph has these set sizes and member counts (a complete graph is one)."""
+    sets: dict[str, set[str]] = {}
+    for s, x in members:
+        sets.setdefault(s, set()).add(x)
+    by_size = sorted(sets.values(), key=len)
+    return all(a <= b for a, b in zip(by_size, by_size[1:]))
+
+
 def rewire(members: list[tuple[str, str]], seed: int, swaps_per_edge: int = 20, tries_per_swap: int = 10) -> list[tuple[str, str]]:
     """Double edge swaps of a set-member graph: every set keeps its size, every member its number of sets.
 
-    Each step draws two edges and exchanges their members where that makes two new edges. The chain is sequential by definition, for
-    set collections of some thousands of edges; the caller distributes the result. A graph that allows no swap raises.
+    Each step draws two edges and exchanges their members where that makes two new edges. Where more than half of all cells are edges, the absent cells are
+    drawn instead: a swap of two of them is a swap of the two edges across, and in a nearly complete graph hardly any draw of edges would hit one. The chain is
+    sequential by definition, for set collections of some thousands of edges; the caller distributes the result. A graph that allows no swap raises.
     """
-    edges = sorted(set(members))
+    given = set(members)
+    sets, names = {s for s, _ in given}, {x for _, x in given}
+    dense = 2 * len(given) > len(sets) * len(names)
+    edges = sorted({(s, x) for s in sets for x in names} - given) if dense else sorted(given)
     have = set(edges)
     rng = np.random.default_rng(seed)
-    want, done = swaps_per_edge * len(edges), 0
+    want, done = swaps_per_edge * len(given), 0
     for _ in range(tries_per_swap * want):
         if done >= want or len(edges) < 2:
             break
@@ -52,7 +65,7 @@ def rewire(members: list[tuple[str, str]], seed: int, swaps_per_edge: int = 20,
         done += 1
     if not done:
         raise ValueError("no two edges of this graph can be swapped")
-    return sorted(have)
+    return sorted({(s, x) for s in sets for x in names} - have if dense else have)
 
 
 def overlap_share(a: DataFrame, b: DataFrame) -> DataFrame:

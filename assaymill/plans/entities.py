@@ -305,10 +305,11 @@ def g02_components(spark: S, sf: str) -> DataFrame:
 
 
 def g03_rewired_overlap(spark: S, sf: str) -> DataFrame:
-    """Members kept by degree-preserving rewiring of brands and types."""
-    edges = [(r[0], r[1]) for r in table(spark, sf, "part").select("p_brand", F.concat_ws("-", "p_type", "p_size")).distinct().collect()]  # a set collection: brands x types x sizes
+    """Members kept by degree-preserving rewiring of brands and types; where the brands' members are nested, no other graph has these degrees and all are kept."""
+    pairs = table(spark, sf, "part").select("p_brand", F.concat_ws("-", "p_type", "p_size").alias("member")).filter("p_brand IS NOT NULL")
+    edges = [(r[0], r[1]) for r in pairs.distinct().collect()]  # a set collection: brands x types x sizes
     mk = lambda x: spark.createDataFrame(x, "set_name string, member string")
-    return G.overlap_share(mk(edges), mk(G.rewire(edges, 7)))
+    return G.overlap_share(mk(edges), mk(edges if G.rigid(edges) else G.rewire(edges, 7)))
 
 
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[0] in "ajpquwg" and k[1:3].isdigit()}

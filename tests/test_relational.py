@@ -149,6 +149,23 @@ def test_rewiring_keeps_degrees():
         G.rewire([("s", "a"), ("s", "b")], 1)
 
 
+def test_complete_collections_are_rigid_and_nearly_complete_ones_rewired(spark, tmp_path):
+    from collections import Counter
+
+    from assaymill.plans.entities import g03_rewired_overlap
+
+    full = [(f"s{i}", f"m{j}") for i in range(25) for j in range(300)]
+    near = [e for e in full if e not in {("s0", "m0"), ("s1", "m1")}]
+    assert G.rigid(full) and G.rigid([("s", "a"), ("s", "b"), ("t", "a")]) and not G.rigid(near) and not G.rigid([("s", "a"), ("t", "b")])
+    out = G.rewire(near, 7)
+    assert Counter(s for s, _ in out) == Counter(s for s, _ in near) and Counter(m for _, m in out) == Counter(m for _, m in near)
+    assert set(full) - set(out) in ({("s0", "m0"), ("s1", "m1")}, {("s0", "m1"), ("s1", "m0")})
+    parts = [(b, t, s) for b in ("B1", "B2", "B3") for t in ("X", "Y") for s in range(4)]
+    for extra in ([], [(None, "X", 1)]):
+        spark.createDataFrame(parts + extra, "p_brand string, p_type string, p_size int").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+        assert tuple(g03_rewired_overlap(spark, str(tmp_path)).first()) == (24, 24, 1.0)
+
+
 def test_structure_functions_need_their_toolkit():
     if not chemistry.available():
         with pytest.raises(RuntimeError):
