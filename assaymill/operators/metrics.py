@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assaymill.functions.scalars import finite
 from assaymill.operators.blocks import blocks
-from assaymill.operators.ranks import HOT_ROWS, group_ranks, guarded_corr, hot_groups
+from assaymill.operators.ranks import dense_order, group_ranks, guarded_corr
 from assaymill.operators.relational import duplicates
 from assaymill.session import settle
 
@@ -112,37 +112,134 @@ def paired_difference(aligned: DataFrame, min_cells: int = 10) -> DataFrame:
     )
 
 
+DRAWN = 1 << 27  #: multiplicities (bytes) that a task holds at a time
+PIECE = 1 << 16  #: rows of a unit beyond which its draws are shared out over tasks
+CELLS = 1 << 18  #: rows x draws scored at a time
+
+
+def multiplicities(seed: int, first: int, last: int, sizes: list[int]) -> list[np.ndarray]:
+    """Per number of groups an array (group, draw) of how often each group is drawn in the draws first to last - 1; every draw has a generator of its own."""
+    out = [np.zeros((last - first, n), np.uint8) for n in sizes]
+    for b in range(first, last):
+        rng = np.random.default_rng([seed, b])
+        for m, n in zip(out, sizes):
+            m[b - first] = np.bincount(rng.integers(0, n, n), minlength=n)
+    return [np.ascontiguousarray(m.T) for m in out]
+
+
+def drawn_selection(unit: np.ndarray, cell: np.ndarray, y: list[np.ndarray], there: list[np.ndarray], w: np.ndarray, min_cells: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(qualified, selections per prediction), each (unit, draw): what ``per_group`` gives for rows repeated ``w`` (row, draw) times.
+
+    ``unit`` numbers the rows' units in ascending order, ``cell`` the cells (negative: missing), ``y`` is the truth and the predictions, ``there`` where they are no
+    NULL. A repeated row takes part in its tie, so a rank is (weight below + weight up to and with the tie + 1) / 2; doubled and centred, ranks are whole numbers.
+    """
+    starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    ends = np.r_[starts[1:], len(unit)]
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    sums = lambda x: np.add.reduceat(x, starts, axis=0)
+    centred, weights = [], []
+    for v, ok in zip(y, there):
+        wv = w if ok.all() else w * ok[:, None]
+        order = np.lexsort((v, unit))
+        s = v[order]
+        new = np.r_[True, (unit[order][1:] != unit[order][:-1]) | ~((s[1:] == s[:-1]) | (np.isnan(s[1:]) & np.isnan(s[:-1])))]
+        low = np.flatnonzero(new)
+        tie = np.empty(len(s), np.int64)
+        tie[order] = np.cumsum(new) - 1
+        c = np.zeros((len(s) + 1, w.shape[1]))
+        np.cumsum(wv[order], axis=0, out=c[1:])
+        both = c[low] + c[np.r_[low[1:], len(s)]]
+        centred.append(both[tie] - (c[starts] + c[ends])[of])
+        weights.append(wv)
+    _, at = np.unique(np.stack([unit, cell]), axis=1, return_index=True)
+    once = np.zeros(len(unit), bool)
+    once[at] = True
+    cells = sums(w * (once & (cell >= 0))[:, None])
+    t, wt = centred[0], weights[0]
+    tt = sums(wt * t * t)
+    qualified = (cells >= min_cells) & (tt > 0)
+    out = []
+    for p, wp, ok in zip(centred[1:], weights[1:], there[1:]):
+        pp = sums(wp * p * p)
+        if there[0].all() and ok.all():
+            tp = sums(w * t * p)
+        else:  # the covariance is that of the rows with both, the deviations are those of each side
+            wb = w * (there[0] & ok)[:, None]
+            n, nt, np_ = sums(wb), sums(wt), sums(wp)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                tp = np.where(n > 0, (sums(wb * t * p) - sums(wb * t) * sums(wb * p) / n) / n, 0.0) * np.sqrt(nt * np_)
+        d = np.sqrt(tt) * np.sqrt(pp)
+        out.append(np.where(qualified & (d > 0), tp / np.where(d > 0, d, 1.0), 0.0))
+    return qualified, out
+
+
 def bootstrap(aligned: DataFrame, protocol: str, n_boot: int = 200, seed: int = 42, min_cells: int = 10) -> DataFrame:
     """(protocol, n_valid, difference_mean, ci_low, ci_high) of the paired cluster bootstrap.
 
-    ``lco`` draws cell groups, ``ldo_so`` chemical groups, ``db`` both. The driver draws group numbers; rows are replicated by a join
-    with the draws, entities relabelled per draw, and every replicate is scored in the same job. Replicates without a qualified compound are left out.
+    ``lco`` draws cell groups, ``ldo_so`` chemical groups, ``db`` both. No row is repeated: a draw is a weight per group, every compound (of a chemical group, where
+    these are drawn) is scored under the weights of all draws in arrays, and counts as often as its chemical group is drawn. Groups are numbered in their order; tasks
+    draw for themselves, a bounded block of draws at a time, and return sums per draw. Replicates without a qualified compound are left out.
     """
     cols = {"lco": ["cell_group"], "ldo_so": ["chemical_group"], "db": ["cell_group", "chemical_group"]}
     if protocol not in cols:
         raise ValueError(f"unsupported bootstrap protocol {protocol}")
     spark = aligned.sparkSession
-    rng = np.random.default_rng(seed)
-    rows, names = aligned, {}
+    present = F.lit(True)
     for c in cols[protocol]:
-        names[c] = sorted(r[0] for r in aligned.select(c).filter(F.col(c).isNotNull()).distinct().collect())  # group level, not row level
-    draws = {c: [] for c in names}
-    for _ in range(n_boot):
-        for c, g in names.items():
-            draws[c].append(rng.integers(0, len(g), len(g)).astype(np.int32))
-    for c, suffix, entity in (("cell_group", "c", "cell_id"), ("chemical_group", "d", "compound_id")):
-        if c in names:
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n_boot + 1) * len(names[c]), pa.int32()), pa.array(np.concatenate(draws[c])))
-            numbers = spark.createDataFrame(pa.table({"b": pa.array(range(n_boot), pa.int32()), "drawn": lists}))
-            groups = spark.createDataFrame(list(enumerate(names[c])), f"i int, {c} string")
-            t = numbers.select("b", F.posexplode("drawn").alias(f"draw_{suffix}", "i")).join(F.broadcast(groups), "i").drop("i")
-            on = [c] if "b" not in rows.columns else [c, "b"]
-            rows = rows.join(t, on).withColumn(entity, F.concat(entity, F.lit("#"), F.col(f"draw_{suffix}").cast("string")))
-    two = rows.select("b", "cell_id", "compound_id", "y_true", F.explode(F.array(*[F.struct(F.lit(m).alias("side"), F.col(f"y_{m}").alias("y_pred")) for m in "ab"])).alias("x")).select("b", "cell_id", "compound_id", "y_true", "x.*")
-    hot = hot_groups(aligned, ["compound_id"], HOT_ROWS // 2)  # a draw repeats a compound's rows about once; counting every draw would run it twice
-    g = per_group(two, ["b", "side", "compound_id"], min_cells, hot).groupBy("b").agg(
-        (F.avg(F.when(F.col("side") == "a", F.col("spearman_selection"))) - F.avg(F.when(F.col("side") == "b", F.col("spearman_selection")))).alias("effect")
-    ).filter("effect IS NOT NULL")
+        present = present & F.col(c).isNotNull()
+    source = settle(aligned.filter(present).select("compound_id", "cell_id", *[F.col(y).cast("double").alias(y) for y in ("y_true", "y_a", "y_b")], *cols[protocol]))
+    rows, sizes = source.withColumns({"gc": F.lit(0), "gd": F.lit(0)}), {}
+    for c, short in (("cell_group", "gc"), ("chemical_group", "gd")):
+        if c in cols[protocol]:
+            numbered = settle(dense_order(source.select(c).distinct(), c, "_n"))
+            sizes[short] = numbered.count()
+            rows = rows.drop(short).join(numbered.select(c, (F.col("_n") - 1).cast("int").alias(short)), c)
+    n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = min(n_boot, max(1, -(-max(sizes.values(), default=0) * n_boot // DRAWN)))
+    units = rows.groupBy("compound_id", "gd").agg(F.collect_list(F.struct("cell_id", "gc", "y_true", "y_a", "y_b")).alias("r")).filter(F.size("r") > 1)  # one row has no variance
+    k = F.least(F.lit(n_boot), F.greatest(F.lit(least), F.ceil(F.size("r") / PIECE).cast("int")))
+    salt = F.hash("compound_id", "gd") if least == 1 else F.pmod(F.hash("compound_id", "gd"), F.lit(4 * -(-n_tasks // least)))  # with many blocks a task should draw for few
+    pieces = units.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("_s", salt).repartition(n_tasks, "k", "i", "_s").sortWithinPartitions("k", "i")
+    kinds = list(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, n_boot))
+        held, table = None, {}
+        for batch in batches:
+            gd, ks, blocks_ = (batch.column(c).to_numpy() for c in (0, 2, 3))
+            lists = batch.column(1)
+            cell, gc, *y = lists.flatten().flatten()
+            cell = cell.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            gc = gc.to_numpy()
+            there = [v.is_valid().to_numpy(zero_copy_only=False) for v in y]
+            y = [v.fill_null(0.0).to_numpy() for v in y]
+            at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            u = 0
+            while u < len(gd):
+                first, last = n_boot * blocks_[u] // ks[u], n_boot * (blocks_[u] + 1) // ks[u]
+                if held != (first, last):
+                    table = {}
+                    table, held = dict(zip(kinds, multiplicities(seed, first, last, list(sizes.values())))), (first, last)
+                wide = last - first if "gc" in table else 1
+                end = u + 1
+                while end < len(gd) and ks[end] == ks[u] and blocks_[end] == blocks_[u] and (at[end + 1] - at[u]) * wide <= CELLS:
+                    end += 1
+                part = slice(at[u], at[end])
+                unit = np.repeat(np.arange(end - u), np.diff(at[u : end + 1]))
+                step = max(1, CELLS // len(unit))
+                for lo in range(0, wide, step):
+                    w = table["gc"][gc[part], lo : lo + step].astype(np.float64) if "gc" in table else np.ones((len(unit), 1))
+                    q, (sa, sb) = drawn_selection(unit, cell[part], [v[part] for v in y], [t[part] for t in there], w, min_cells)
+                    d = slice(first + lo, min(last, first + lo + step)) if "gc" in table else slice(first, last)
+                    times = table["gd"][gd[u:end], d.start - first : d.stop - first] if "gd" in table else 1
+                    for x, v in zip(total, (sa, sb, q)):
+                        x[d] += (v * times).sum(0)
+                u = end
+        some = np.flatnonzero(total[2])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x[some]) for x in total]], ["b", "a", "o", "n"])
+
+    got = pieces.select("gd", "r", "k", "i").mapInArrow(run, "b int, a double, o double, n double")
+    g = got.groupBy("b").agg(((F.sum("a") - F.sum("o")) / F.sum("n")).alias("effect"))
     ci = F.percentile("effect", F.array(F.lit(0.025), F.lit(0.975)))
     return settle(g).agg(F.lit(protocol).alias("protocol"), F.count(F.lit(1)).alias("n_valid"), F.avg("effect").alias("difference_mean"), ci[0].alias("ci_low"), ci[1].alias("ci_high"))
 

@@ -53,6 +53,45 @@ def test_bootstrap_of_equal_predictions_is_zero(spark):
         M.bootstrap(a, "lpo")
 
 
+@pytest.mark.parametrize("protocol", ["lco", "ldo_so", "db"])
+def test_bootstrap_by_weights_equals_repeated_rows(spark, monkeypatch, protocol):
+    import random
+
+    import numpy as np
+
+    rng, nan = random.Random(3), float("nan")
+    cells = {f"c{i:02d}": f"g{i % 7}" for i in range(20)}
+    drugs = {f"d{i}": f"h{i % 4}" for i in range(6)}
+    data = [(d, c, rng.choice([1.0, 2.0, 3.0, None]), rng.choice([0.5, 1.5, None, 2.5, nan]), float(rng.randrange(9)), cells[c], drugs[d]) for d in drugs for c in cells if rng.random() < 0.7]
+    data += [("d0", None, 2.0, 1.0, 5.0, "g1", "h0"), ("d1", "c01", 3.0, 2.5, 1.0, None, "h1"), ("d2", "c02", 1.0, 0.5, 1.0, "g2", None), ("d9", "c01", 1.0, 1.0, 1.0, "g1", "h1")]
+    names = "compound_id string, cell_id string, y_true double, y_a double, y_b double, cell_group string, chemical_group string"
+    drawn = {"lco": [5], "ldo_so": [6], "db": [5, 6]}[protocol]
+    there = [r for r in data if all(r[k] is not None for k in drawn)]
+    groups = {k: sorted({r[k] for r in there}) for k in drawn}
+    repeated = []
+    for b in range(20):
+        g = np.random.default_rng([42, b])
+        draws = {k: g.integers(0, len(v), len(v)) for k, v in groups.items()}
+        for d, c, *y, cg, hg in there:
+            copies = lambda k, v: [f"#{i}" for i, x in enumerate(draws[k]) if groups[k][x] == v] if k in draws else [""]
+            repeated += [(b, d + j, c and c + i, *y) for i in copies(5, cg) for j in copies(6, hg)]
+    both = spark.createDataFrame(repeated, "b int, compound_id string, cell_id string, y_true double, y_a double, y_b double")
+    mean = {}
+    for s in ("y_a", "y_b"):
+        per = M.per_group(both.withColumnRenamed(s, "y_pred"), ["b", "compound_id"], 8).filter("qualified").groupBy("b").avg("spearman_selection").collect()
+        mean[s] = dict((r[0], r[1]) for r in per)
+    effects = [mean["y_a"][b] - mean["y_b"][b] for b in mean["y_a"]]
+
+    def refuse(*_a, **_k):
+        raise AssertionError("rows must not be repeated by draws")
+
+    for name, value in (("per_group", refuse), ("CELLS", 90), ("DRAWN", 60), ("PIECE", 5)):  # bounds so small that draws are cut in blocks
+        monkeypatch.setattr(M, name, value)
+    got = M.bootstrap(spark.createDataFrame(data, names), protocol, 20, 42, 8).first()
+    assert effects and got["n_valid"] == len(effects)
+    assert tuple(got)[2:] == pytest.approx((np.mean(effects), *np.percentile(effects, [2.5, 97.5])), abs=1e-12)
+
+
 def groups(spark, n=60):
     r = [(f"s{i:03d}", f"c{i // 3:02d}", f"g{i // 6:02d}", "AB"[(i // 6) % 2], f"d{i % 4}", float(i % 7)) for i in range(n)]
     return spark.createDataFrame(r, "sample_id string, cell_id string, g string, t string, compound_id string, y double")
