@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -113,6 +113,29 @@ def elastic_net(gram: np.ndarray, xy: np.ndarray, alpha: float, l1_ratio: float,
     return w
 
 
+def elastic_nets(grams: np.ndarray, xys: np.ndarray, alpha: float, l1_ratio: float, rounds: int = 3000, tol: float = 1e-8) -> np.ndarray:
+    """``elastic_net`` of many groups at once, one per row: the same updates in the same order; a group that has converged is left alone."""
+    out = np.zeros_like(xys)
+    sq = np.einsum("kjj->kj", grams).copy()
+    live, w = np.arange(len(xys)), out.copy()
+    g, xy = np.ascontiguousarray(grams.transpose(1, 0, 2)), xys
+    for _ in range(rounds):
+        biggest = np.zeros(len(live))
+        for j in np.flatnonzero((sq > 1e-15).any(0)):
+            rho = xy[:, j] - np.einsum("kd,kd->k", g[j], w) + sq[:, j] * w[:, j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - alpha * l1_ratio, 0) / (sq[:, j] + alpha * (1 - l1_ratio) + (sq[:, j] <= 1e-15))
+            new = np.where(sq[:, j] > 1e-15, new, 0.0)
+            np.maximum(biggest, np.abs(new - w[:, j]), out=biggest)
+            w[:, j] = new
+        going = biggest >= tol
+        out[live] = w
+        if not going.any():
+            break
+        if not going.all():
+            live, w, g, xy, sq = live[going], w[going], np.ascontiguousarray(g[:, going]), xy[going], sq[going]
+    return out
+
+
 def group_moments(rows: DataFrame, group: str, features: str = "features", y: str = "y", held: int = 500) -> DataFrame:
     """(group, n, m): sums of the outer products of (1, features, y) per group, as the bytes of a float64 matrix, in several partial rows.
 
@@ -151,42 +174,100 @@ def group_moments(rows: DataFrame, group: str, features: str = "features", y: st
     return src.mapInArrow(run, f"{group} {rows.schema[group].dataType.simpleString()}, n bigint, m binary")
 
 
-def group_linear(train: DataFrame, group: str, alpha: float, l1_ratio: float | None, least: int = 30) -> DataFrame:
+HOT_ROWS = 100_000  #: rows of a group beyond which its moments are added up in the partitions where its rows lie
+SOLVED = 256  #: groups solved together
+
+Late = Callable[[DataFrame], DataFrame]
+
+
+def group_linear(train: DataFrame, group: str, alpha: float, l1_ratio: float | None, least: int = 30, attach: Late | None = None) -> DataFrame:
     """(group, n, coef, intercept): a linear model per group, solved from its moments; ridge (``l1_ratio`` None) or elastic net.
 
-    A group with fewer than ``least`` rows or a constant label has no coefficients and its mean as intercept.
+    A group with fewer than ``least`` rows or a constant label has no coefficients and its mean as intercept. Rows are brought together by group and read in
+    that order, so a group's moments (a square of the vector's length) stay in its task; only those of groups beyond HOT_ROWS are added up in pieces.
+    ``attach`` adds ``features`` to rows that lack them and must leave rows where they are (a broadcast join): then wide rows are never shuffled.
     """
     kind, arrow = train.schema[group].dataType.simpleString(), to_arrow_type(train.schema[group].dataType)
-
-    def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        d = math.isqrt(len(t.column("m")[0].as_py()) // 8)
-        m = sum(np.frombuffer(x, np.float64).reshape(d, d) for x in t.column("m").to_pylist())
-        n = m[0, 0]
-        mean = m[0] / n
-        cov = m / n - np.outer(mean, mean)
-        if n < least or cov[-1, -1] <= 1e-12 * max(1.0, mean[-1] ** 2):
-            coef, intercept = [], float(mean[-1])
-        else:
+    schema = f"{group} {kind}, n bigint, coef array<double>, intercept double"
+
+    def solve(names: list, ms: list[np.ndarray]) -> pa.Table:
+        coefs, intercepts, nets = [[] for _ in ms], [float(m[0, -1] / m[0, 0]) for m in ms], []
+        for i, m in enumerate(ms):
+            n, mean = m[0, 0], m[0] / m[0, 0]
+            cov = m / n - np.outer(mean, mean)
+            if n < least or cov[-1, -1] <= 1e-12 * max(1.0, mean[-1] ** 2):
+                continue
             g, xy = cov[1:-1, 1:-1], cov[1:-1, -1]
-            w = np.linalg.solve(g + alpha / n * np.eye(d - 2), xy) if l1_ratio is None else elastic_net(g, xy, alpha, l1_ratio)
-            coef, intercept = w.tolist(), float(mean[-1] - mean[1:-1] @ w)
-        return pa.table({group: pa.array([key[0].as_py()], arrow), "n": pa.array([int(n)], pa.int64()), "coef": pa.array([coef], pa.list_(pa.float64())), "intercept": pa.array([intercept], pa.float64())})
-
-    return group_moments(train, group).groupBy(group).applyInArrow(solve, f"{group} {kind}, n bigint, coef array<double>, intercept double")
-
-
-def group_predict(model: DataFrame, query: DataFrame, group: str, contributions: bool = False) -> DataFrame:
-    """query with y_pred (and ``base`` and the signed ``contributions`` of its features, which sum to it); NULL for a group without a model."""
+            if l1_ratio is None:
+                nets.append((i, mean, None, None, np.linalg.solve(g + alpha / n * np.eye(len(xy)), xy)))
+            else:
+                nets.append((i, mean, g, xy, None))
+        for d in {len(x[1]) for x in nets}:
+            same = [x for x in nets if len(x[1]) == d]
+            ws = [x[4] for x in same] if l1_ratio is None else elastic_nets(np.stack([x[2] for x in same]), np.stack([x[3] for x in same]), alpha, l1_ratio)
+            for (i, mean, *_), w in zip(same, ws):
+                coefs[i], intercepts[i] = w.tolist(), float(mean[-1] - mean[1:-1] @ w)
+        return pa.table({group: pa.array(names, arrow), "n": pa.array([int(round(m[0, 0])) for m in ms], pa.int64()), "coef": pa.array(coefs, pa.list_(pa.float64())), "intercept": pa.array(intercepts, pa.float64())})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ms, done = [], [], []  # groups read whole; groups without a net among them wait as well, as models
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(0).dictionary_encode()
+            lists, label = b.column(1), b.column(2).to_numpy(zero_copy_only=False)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            which, known = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(which)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                z = np.concatenate([np.ones((hi - lo, 1)), flat[at[lo] : at[hi]].reshape(hi - lo, -1), label[lo:hi, None]], 1)
+                g = known[which[lo]]
+                if names and names[-1] == g:
+                    ms[-1] = ms[-1] + z.T @ z
+                    continue
+                if len(names) >= SOLVED:
+                    yield from solve(names, ms).to_batches()
+                    names, ms = [], []
+                elif ms and ms[-1][0, 0] < least:  # the last group is whole and small
+                    done.append((names.pop(), ms.pop()[[0]][:, [0, -1]]))
+                    if len(done) >= 10 * SOLVED:
+                        yield from solve(*map(list, zip(*done))).to_batches()
+                        done = []
+                names.append(g)
+                ms.append(z.T @ z)
+        for n, m in ((names, ms), tuple(map(list, zip(*done))) or ([], [])):
+            if n:
+                yield from solve(n, m).to_batches()
+
+    def pieces(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        d = math.isqrt(len(t.column("m")[0].as_py()) // 8)
+        return solve([key[0].as_py()], [sum(np.frombuffer(x, np.float64).reshape(d, d) for x in t.column("m").to_pylist())])
+
+    add = attach or (lambda d: d)
+    usable = train.filter(F.col(group).isNotNull() & F.col("y").isNotNull())
+    hot = [r[0] for r in usable.groupBy(group).count().filter(F.col("count") > HOT_ROWS).select(group).collect()]  # at most one per HOT_ROWS rows
+    cold = usable.filter(~F.col(group).isin(hot)) if hot else usable
+    placed = add(cold.repartition(group)).sortWithinPartitions(group)  # sorted last: an order below a join would be dropped
+    src = placed.select(group, F.col("features").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y")).filter(F.col("x").isNotNull())
+    out = src.mapInArrow(whole, schema)
+    if hot:
+        out = out.unionByName(group_moments(add(usable.filter(F.col(group).isin(hot))), group).groupBy(group).applyInArrow(pieces, schema))
+    return out
+
+
+def group_predict(model: DataFrame, query: DataFrame, group: str, contributions: bool = False, attach: Late | None = None) -> DataFrame:
+    """query with y_pred (and ``base`` and the signed ``contributions`` of its features, which sum to it); NULL for a group without a model. ``attach`` adds features to rows without."""
     met = query.join(model.select(group, "coef", "intercept"), group, "left")
+    met = attach(met) if attach else met
     parts = F.when(F.size("coef") > 0, F.zip_with(F.col("features").cast("array<double>"), "coef", lambda x, w: x * w)).otherwise(F.transform("features", lambda x: F.lit(0.0)))
     out = met.withColumn("contributions", parts).withColumn("y_pred", F.col("intercept") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x))
     return out.withColumnRenamed("intercept", "base").drop("coef") if contributions else out.drop("coef", "intercept", "contributions")
 
 
-def per_group_elastic_net(train: DataFrame, query: DataFrame, group: str, alpha: float, l1_ratio: float, least: int = 30) -> DataFrame:
+def per_group_elastic_net(train: DataFrame, query: DataFrame, group: str, alpha: float, l1_ratio: float, least: int = 30, attach: Late | None = None) -> DataFrame:
     """query with y_pred: an elastic net per group; groups with fewer than ``least`` rows or a constant label use their mean, unknown groups the global mean."""
     g = F.broadcast(train.agg(F.avg("y").alias("_g")))  # one row
-    p = group_predict(group_linear(train, group, alpha, l1_ratio, least), query, group)
+    p = group_predict(group_linear(train, group, alpha, l1_ratio, least, attach), query, group, attach=attach)
     return p.crossJoin(g).withColumn("y_pred", F.coalesce("y_pred", "_g")).drop("_g")
 
 

@@ -113,8 +113,12 @@ def j14_knn_prediction(spark: S, sf: str) -> DataFrame:
     return E.neighbour_mean(p.filter("role = 'train'"), p.filter("role = 'test'").select("sample_id", "compound_id", "cell_vec"), "compound_id", "cell_vec", 3).select("sample_id", F.round(F.col("prediction") + 1e-9, 4).alias("prediction"))
 
 
+def _drug_vector():
+    return F.array((F.regexp_extract("compound_id", r"(\d+)$", 1).cast("double") % 11) / 10, F.length(F.coalesce("smiles", F.lit(""))).cast("double") / 50)
+
+
 def f15_pair_features(spark: S, sf: str) -> DataFrame:
-    drugs = B.compounds(spark, sf).select("compound_id", F.array((F.regexp_extract("compound_id", r"(\d+)$", 1).cast("double") % 11) / 10, F.length(F.coalesce("smiles", F.lit(""))).cast("double") / 50).alias("drug_vec"))
+    drugs = B.compounds(spark, sf).select("compound_id", _drug_vector().alias("drug_vec"))
     return E.pair_features(B.pairs(spark, sf).select("sample_id", "cell_id", "compound_id", "y", "role"), _cell_vectors(spark, sf), drugs)
 
 
@@ -146,9 +150,26 @@ def m04_elastic_net(spark: S, sf: str) -> DataFrame:
     return L.linear_predict(L.linear(f.filter("role = 'train'"), 0.01, 0.5), f.filter("role = 'test'")).select("sample_id", F.round("y_pred", 5).alias("y_pred"))
 
 
+VECTORS = 100_000  #: vectors up to which they are sent to the rows
+
+
+def _slim_features(spark: S, sf: str):
+    """(rows, attach): the pairs of ``f15_pair_features`` with their vector's number and the drug's vector instead of features, written; attach adds the features
+    without moving a row, or is None where there are so many vectors that they had to be joined by a shuffle."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("cell_vec"))
+    n = e.count()
+    if n > VECTORS:
+        return settle(f15_pair_features(spark, sf)), None
+    c = B.cells(spark, sf).select("cell_id", (F.regexp_extract("cell_id", r"(\d+)$", 1).cast("bigint") % n).alias("vec_id"))
+    drugs = B.compounds(spark, sf).select("compound_id", _drug_vector().alias("drug_vec"))
+    rows = B.pairs(spark, sf).select("sample_id", "cell_id", "compound_id", "y", "role").join(c, "cell_id").join(drugs, "compound_id")
+    known = settle(rows.join(F.broadcast(e.select("vec_id")), "vec_id"))  # at most VECTORS rows, counted
+    return known, lambda d: d.join(F.broadcast(e), "vec_id").withColumn("features", F.concat("cell_vec", "drug_vec")).drop("cell_vec", "drug_vec", "vec_id")
+
+
 def m05_per_drug_elastic_net(spark: S, sf: str) -> DataFrame:
-    f = settle(f15_pair_features(spark, sf))
-    return L.per_group_elastic_net(f.filter("role = 'train'"), f.filter("role = 'test'").select("sample_id", "compound_id", "features"), "compound_id", 0.01, 0.5).select("sample_id", *R6("y_pred"))
+    f, attach = _slim_features(spark, sf)
+    return L.per_group_elastic_net(f.filter("role = 'train'"), f.filter("role = 'test'"), "compound_id", 0.01, 0.5, attach=attach).select("sample_id", *R6("y_pred"))
 
 
 def m06_forest(spark: S, sf: str) -> DataFrame:

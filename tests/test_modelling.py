@@ -273,6 +273,29 @@ def test_small_or_constant_groups_fall_back_to_means(spark):
     assert (got["x"], got["y"]) == (2.0, 2.0) and got["z"] == pytest.approx(2.0)
 
 
+def test_group_nets_leave_their_moments_where_the_rows_are(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(40, 5))
+    data = [(f"g{i % 23 if i % 3 else 0:02d}", int(rng.integers(40)), float(rng.normal())) for i in range(1500)]
+    slim = spark.createDataFrame(data, "g string, v int, y double").repartition(6)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "v int, features array<double>")
+    monkeypatch.setattr(L, "SOLVED", 4)
+    nets = lambda: {r["g"]: r for r in L.group_linear(slim, "g", 0.01, 0.5, 30, lambda d: d.join(F.broadcast(e), "v")).collect()}
+    refuse = lambda *_: (_ for _ in ()).throw(AssertionError("moments must not be shuffled"))
+    with monkeypatch.context() as m:
+        m.setattr(L, "group_moments", refuse)
+        whole = nets()
+    monkeypatch.setattr(L, "HOT_ROWS", 200)  # g00 in pieces
+    for got in (whole, nets()):
+        assert set(got) == {r[0] for r in data}
+        for g, r in got.items():
+            x, y = np.array([vectors[v] for k, v, _ in data if k == g]), np.array([y for k, _, y in data if k == g])
+            w = L.elastic_net((c := x - x.mean(0)).T @ c / len(y), c.T @ (y - y.mean()) / len(y), 0.01, 0.5) if len(y) >= 30 else np.zeros(0)
+            assert r["n"] == len(y) and np.allclose(r["coef"], w, atol=1e-9) and r["intercept"] == pytest.approx(y.mean() - (x.mean(0) @ w if len(w) else 0))
+
+
 def test_grids_and_guarded_selection(spark):
     assert len(L.grid("mlp")) == 8 and L.grid("elasticnet")[1] == {"alpha": 0.01, "l1_ratio": 0.5} and L.grid("drug_mean") == [{}]
     t = spark.createDataFrame([("r", 1, 0.9, 2.0, 1.0), ("r", 2, 0.5, 1.0, 1.0), ("r", 3, None, 0.9, 1.0), ("q", 1, 0.9, 3.0, 1.0), ("q", 2, 0.1, 2.0, 1.0)], "run string, trial_no int, macro double, rmse double, baseline_rmse double")
