@@ -88,13 +88,66 @@ def forest(train: DataFrame, trees: int = 64, depth: int = 12, share: float = 0.
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy=str(share), seed=seed).fit(rows)
 
 
-def factorisation(train: DataFrame, factors: int = 16, seed: int = 42, steps: int = 100):
-    """Factorisation machine: the built-in counterpart of a low-rank interaction model."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import FMRegressor
+class Factorisation:
+    """A fitted factorisation machine: intercept, linear weights, and a row of factors per feature."""
 
-    rows = train.select(array_to_vector("features").alias("features"), F.col("y").alias("label"))
-    return FMRegressor(factorSize=factors, maxIter=steps, stepSize=0.05, seed=seed).fit(rows)
+    def __init__(self, intercept: float, linear: np.ndarray, factors: np.ndarray):
+        self.intercept, self.linear, self.factors = intercept, linear, factors
+
+    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions of the rows of ``x``, and their sums of factors."""
+        s = x @ self.factors
+        return self.intercept + x @ self.linear + 0.5 * ((s * s).sum(1) - (x * x) @ (self.factors * self.factors).sum(1)), s
+
+    def predict(self, query: DataFrame) -> DataFrame:
+        """(sample_id, y_pred) of rows with features."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(self.score(_matrix(b.column(1)))[0])], ["sample_id", "y_pred"])
+
+        return query.select("sample_id", F.col("features").cast("array<double>")).mapInArrow(run, f"sample_id {query.schema['sample_id'].dataType.simpleString()}, y_pred double")
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def factorisation(train: DataFrame, factors: int = 16, seed: int = 42, steps: int = 100, attach: Late | None = None, rate: float = 0.05) -> Factorisation:
+    """Factorisation machine fitted by full gradients of the squared error and AdamW, as Spark's FMRegressor does from the same start; every step is one scan whose
+    tasks return sums of gradients, computed on whole batches. ``attach`` as in ``group_linear``: features need not be stored."""
+    rows = (attach or (lambda d: d))(train).select(F.col("features").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"))
+    width = len(rows.first()["x"])
+    random = train.sparkSession._jvm.java.util.Random(seed)
+    v = np.array([random.nextGaussian() * 0.01 for _ in range(width * factors)])
+    theta = np.concatenate([v, np.zeros(width + 1)])
+    unpack = lambda t: Factorisation(t[-1], t[width * factors : -1], t[: width * factors].reshape(width, factors))
+
+    def gradients(now: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, total, n = unpack(now), np.zeros(len(now)), 0
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _matrix(b.column(0))
+                p, s = model.score(x)
+                e = 2 * (p - b.column(1).to_numpy(zero_copy_only=False))
+                total += np.concatenate([(x.T @ (e[:, None] * s) - (e @ (x * x))[:, None] * model.factors).ravel(), e @ x, [e.sum()]])
+                n += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "g"])
+
+        return run
+
+    m, u = np.zeros_like(theta), np.zeros_like(theta)
+    for i in range(1, steps + 1):
+        parts = rows.mapInArrow(gradients(theta), "n bigint, g binary").collect()  # one row a task
+        g = sum(np.frombuffer(r["g"], np.float64) for r in parts) / sum(r["n"] for r in parts)
+        m, u = 0.9 * m + 0.1 * g, 0.999 * u + 0.001 * g * g
+        before, theta = theta, theta - rate * (m / (1 - 0.9**i)) / (np.sqrt(u / (1 - 0.999**i)) + 1e-8)
+        if np.linalg.norm(theta - before) < 1e-6 * max(np.linalg.norm(theta), 1.0):
+            break
+    return unpack(theta)
 
 
 def elastic_net(gram: np.ndarray, xy: np.ndarray, alpha: float, l1_ratio: float, rounds: int = 3000, tol: float = 1e-8) -> np.ndarray:

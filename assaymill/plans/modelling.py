@@ -179,8 +179,9 @@ def m06_forest(spark: S, sf: str) -> DataFrame:
 
 
 def m09_factorisation(spark: S, sf: str) -> DataFrame:
-    f = settle(f15_pair_features(spark, sf))
-    return L.linear_predict(L.factorisation(f.filter("role = 'train'")), f.filter("role = 'test'")).select("sample_id", *R6("y_pred"))
+    f, attach = _slim_features(spark, sf)
+    model, test = L.factorisation(f.filter("role = 'train'"), attach=attach), f.filter("role = 'test'")
+    return model.predict(attach(test) if attach else test).select("sample_id", *R6("y_pred"))
 
 
 def m11_set_contributions(spark: S, sf: str) -> DataFrame:

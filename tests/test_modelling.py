@@ -296,6 +296,22 @@ def test_group_nets_leave_their_moments_where_the_rows_are(spark, monkeypatch):
             assert r["n"] == len(y) and np.allclose(r["coef"], w, atol=1e-9) and r["intercept"] == pytest.approx(y.mean() - (x.mean(0) @ w if len(w) else 0))
 
 
+def test_factorisation_equals_the_built_in_one_without_storing_features(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import FMRegressor
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(50, 6)))], "v int, features array<double>")
+    slim = spark.createDataFrame([(str(i), i * 7 % 50, float(rng.normal())) for i in range(300)], "sample_id string, v int, y double").repartition(3)
+    attach = lambda d: d.join(F.broadcast(e), "v")
+    model = L.factorisation(slim, 4, 42, 12, attach)
+    got = {r["sample_id"]: r["y_pred"] for r in model.predict(attach(slim)).collect()}
+    wide = attach(slim).withColumn("features", array_to_vector("features")).withColumnRenamed("y", "label")
+    want = FMRegressor(factorSize=4, maxIter=12, stepSize=0.05, seed=42).fit(wide).transform(wide).collect()
+    assert len(want) == 300 and all(got[r["sample_id"]] == pytest.approx(r["prediction"], abs=1e-9) for r in want)
+
+
 def test_grids_and_guarded_selection(spark):
     assert len(L.grid("mlp")) == 8 and L.grid("elasticnet")[1] == {"alpha": 0.01, "l1_ratio": 0.5} and L.grid("drug_mean") == [{}]
     t = spark.createDataFrame([("r", 1, 0.9, 2.0, 1.0), ("r", 2, 0.5, 1.0, 1.0), ("r", 3, None, 0.9, 1.0), ("q", 1, 0.9, 3.0, 1.0), ("q", 2, 0.1, 2.0, 1.0)], "run string, trial_no int, macro double, rmse double, baseline_rmse double")
