@@ -157,6 +157,7 @@ def _slim_features(spark: S, sf: str):
     """(rows, attach): the pairs of ``f15_pair_features`` with their vector's number and the drug's vector instead of features, written; attach adds the features
     without moving a row, or is None where there are so many vectors that they had to be joined by a shuffle."""
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("cell_vec"))
+    e = settle(e)  # read again by every scan
     n = e.count()
     if n > VECTORS:
         return settle(f15_pair_features(spark, sf)), None
