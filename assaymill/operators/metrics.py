@@ -211,6 +211,7 @@ def bootstrap(aligned: DataFrame, protocol: str, n_boot: int = 200, seed: int =
             cell, gc, *y = lists.flatten().flatten()
             cell = cell.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             gc = gc.to_numpy()
+            cell = np.where(cell < 0, -1, cell.astype(np.int64) * sizes.get("gc", 1) + gc)  # a cell counts once in each group that is drawn
             there = [v.is_valid().to_numpy(zero_copy_only=False) for v in y]
             y = [v.fill_null(0.0).to_numpy() for v in y]
             at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]

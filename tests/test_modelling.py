@@ -92,6 +92,14 @@ def test_bootstrap_by_weights_equals_repeated_rows(spark, monkeypatch, protocol)
     assert tuple(got)[2:] == pytest.approx((np.mean(effects), *np.percentile(effects, [2.5, 97.5])), abs=1e-12)
 
 
+@pytest.mark.parametrize("protocol", ["lco", "db"])
+def test_bootstrap_counts_a_cell_in_each_of_its_drawn_groups(spark, protocol):
+    data = [("d0", f"c{i}", float(i), float(i), float(-i), g, "h0") for i in range(4) for g in ("g0", "g1")]
+    names = "compound_id string, cell_id string, y_true double, y_a double, y_b double, cell_group string, chemical_group string"
+    r = M.bootstrap(spark.createDataFrame(data, names), protocol, n_boot=40, min_cells=4).first()
+    assert tuple(r)[1:] == pytest.approx((40, 2.0, 2.0, 2.0))  # a draw of one group twice has all four cells, too
+
+
 def groups(spark, n=60):
     r = [(f"s{i:03d}", f"c{i // 3:02d}", f"g{i // 6:02d}", "AB"[(i // 6) % 2], f"d{i % 4}", float(i % 7)) for i in range(n)]
     return spark.createDataFrame(r, "sample_id string, cell_id string, g string, t string, compound_id string, y double")
