@@ -71,6 +71,29 @@ def test_bootstrap_forest_and_factorisation_run_at_full_size(spark, monkeypatch)
     assert len(asked) == 5 and all(v == full[n] for n, v in asked)
 
 
+def test_bootstrap_over_compounds_scores_each_once_for_all_draws(spark, monkeypatch):
+    d = V._against_lineage(spark, SF).select("compound_id", "cell_id", "y_true", "y_a", "y_b").toPandas()
+    for c in ("y_true", "y_a", "y_b"):
+        d["r_" + c] = d.groupby("compound_id")[c].rank()
+
+    def scores(x):
+        q = x.cell_id.nunique() >= 10 and x.y_true.nunique() > 1
+        rho = [np.corrcoef(x.r_y_true, x[c])[0, 1] if q and x[c].nunique() > 1 else 0.0 for c in ("r_y_a", "r_y_b")]
+        return rho[0] - rho[1], float(q)
+
+    per = np.array([scores(x) for _, x in d.groupby("compound_id")])  # in the order of the compounds
+    n = len(per)
+    sums = [np.bincount(np.random.default_rng([42, b]).integers(0, n, n), minlength=n) @ per for b in range(1000)]
+    effects = [a / q for a, q in sums if q]
+
+    def refuse(*_a, **_k):
+        raise AssertionError("rows must not be repeated by draws")
+
+    monkeypatch.setattr(V.M, "per_group", refuse)
+    got = V.r11_bootstrap_ldo(spark, SF).first()
+    assert effects and tuple(got) == ("ldo_so", len(effects), *[pytest.approx(v, abs=1e-12) for v in (np.mean(effects), *np.percentile(effects, [2.5, 97.5]))])
+
+
 def test_audits_count_all_three_roles_and_chemical_groups(spark):
     def divided(rows, key):
         roles = {}
