@@ -112,7 +112,7 @@ def paired_difference(aligned: DataFrame, min_cells: int = 10) -> DataFrame:
     )
 
 
-DRAWN = 1 << 27  #: multiplicities (bytes) that a task holds at a time
+DRAWN = 1 << 27  #: multiplicities (bytes) that a task holds at a time; numbers that a task draws for groups already scored
 PIECE = 1 << 16  #: rows of a unit beyond which its draws are shared out over tasks
 CELLS = 1 << 18  #: rows x draws scored at a time
 
@@ -173,30 +173,59 @@ def drawn_selection(unit: np.ndarray, cell: np.ndarray, y: list[np.ndarray], the
     return qualified, out
 
 
-def bootstrap(aligned: DataFrame, protocol: str, n_boot: int = 200, seed: int = 42, min_cells: int = 10) -> DataFrame:
-    """(protocol, n_valid, difference_mean, ci_low, ci_high) of the paired cluster bootstrap.
+def members(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Of lists of (cell, truth, predictions a and b, ...): their bounds, numbers of the cells (negative: missing), values, where these are no NULL, what else there is."""
+    cell, *y = lists.flatten().flatten()
+    cell = cell.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    y, more = y[:3], [v.to_numpy() for v in y[3:]]
+    return np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], cell, [v.fill_null(0.0).to_numpy() for v in y], [v.is_valid().to_numpy(zero_copy_only=False) for v in y], more
 
-    ``lco`` draws cell groups, ``ldo_so`` chemical groups, ``db`` both. No row is repeated: a draw is a weight per group, every compound (of a chemical group, where
-    these are drawn) is scored under the weights of all draws in arrays, and counts as often as its chemical group is drawn. Groups are numbered in their order; tasks
-    draw for themselves, a bounded block of draws at a time, and return sums per draw. Replicates without a qualified compound are left out.
+
+def _drawn_scores(source: DataFrame, by: str, numbered: DataFrame, size: int, n_boot: int, seed: int, min_cells: int) -> DataFrame:
+    """(b, a, o, n) per draw of groups of compounds: the sums of the compounds' selections and how many qualify.
+
+    No draw changes a compound's rows, so every compound is scored once, where its rows are. What is drawn are the groups' sums, three numbers each: every drawing
+    task gets all of them and makes its share of the draws.
     """
-    cols = {"lco": ["cell_group"], "ldo_so": ["chemical_group"], "db": ["cell_group", "chemical_group"]}
-    if protocol not in cols:
-        raise ValueError(f"unsupported bootstrap protocol {protocol}")
-    spark = aligned.sparkSession
-    present = F.lit(True)
-    for c in cols[protocol]:
-        present = present & F.col(c).isNotNull()
-    source = settle(aligned.filter(present).select("compound_id", "cell_id", *[F.col(y).cast("double").alias(y) for y in ("y_true", "y_a", "y_b")], *cols[protocol]))
-    rows, sizes = source.withColumns({"gc": F.lit(0), "gd": F.lit(0)}), {}
-    for c, short in (("cell_group", "gc"), ("chemical_group", "gd")):
-        if c in cols[protocol]:
-            numbered = settle(dense_order(source.select(c).distinct(), c, "_n"))
-            sizes[short] = numbered.count()
-            rows = rows.drop(short).join(numbered.select(c, (F.col("_n") - 1).cast("int").alias(short)), c)
-    n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = source.schema[by].dataType.simpleString()
+    units = source.groupBy("compound_id", by).agg(F.collect_list(F.struct("cell_id", "y_true", "y_a", "y_b")).alias("r")).filter(F.size("r") > 1)  # one row has no variance
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cell, y, there, _ = members(batch.column(1))
+            u = 0
+            while u < len(batch):
+                end = max(u + 1, int(np.searchsorted(at, at[u] + CELLS, "right")) - 1)
+                part = slice(at[u], at[end])
+                unit = np.repeat(np.arange(end - u), np.diff(at[u : end + 1]))
+                q, (sa, sb) = drawn_selection(unit, cell[part], [v[part] for v in y], [t[part] for t in there], np.ones((len(unit), 1)), min_cells)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(u, end - u), *[pa.array(x[:, 0].astype(np.float64)) for x in (sa, sb, q)]], [by, "a", "o", "n"])
+                u = end
+
+    scored = units.select(by, "r").mapInArrow(score, f"{by} {kind}, a double, o double, n double")
+    sums = scored.filter("n > 0").groupBy(by).agg(*[F.sum(x).alias(x) for x in "aon"]).join(numbered, by)
+    n_tasks = max(1, min(n_boot, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * n_boot // DRAWN)))
+
+    def draw(key: tuple[pa.Scalar], groups: pa.Table) -> pa.Table:
+        groups = groups.sort_by("gd")
+        gd, *each = (groups[c].to_numpy() for c in ("gd", "a", "o", "n"))
+        each, j = np.stack(each, axis=1), key[0].as_py()
+        drawn = range(n_boot * j // n_tasks, n_boot * (j + 1) // n_tasks)
+        total = np.zeros((len(drawn), 3))
+        for x, b in zip(total, drawn):
+            x[:] = np.bincount(np.random.default_rng([seed, b]).integers(0, size, size), minlength=size)[gd] @ each
+        some = total[:, 2] > 0
+        return pa.table({"b": pa.array(np.array(drawn)[some], pa.int32())} | {c: pa.array(v) for c, v in zip("aon", total[some].T)})
+
+    dealt = sums.select("gd", "a", "o", "n", F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1))).alias("j"))
+    return dealt.groupBy("j").applyInArrow(draw, "b int, a double, o double, n double")
+
+
+def _drawn_rows(rows: DataFrame, sizes: dict[str, int], n_boot: int, seed: int, min_cells: int) -> DataFrame:
+    """(b, a, o, n), partial sums per draw of groups of cells (``gc``), and of compounds (``gd``) where ``sizes`` has them: compounds are scored under the weights of the draws."""
+    n_tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     least = min(n_boot, max(1, -(-max(sizes.values(), default=0) * n_boot // DRAWN)))
-    units = rows.groupBy("compound_id", "gd").agg(F.collect_list(F.struct("cell_id", "gc", "y_true", "y_a", "y_b")).alias("r")).filter(F.size("r") > 1)  # one row has no variance
+    units = rows.groupBy("compound_id", "gd").agg(F.collect_list(F.struct("cell_id", "y_true", "y_a", "y_b", "gc")).alias("r")).filter(F.size("r") > 1)  # one row has no variance
     k = F.least(F.lit(n_boot), F.greatest(F.lit(least), F.ceil(F.size("r") / PIECE).cast("int")))
     salt = F.hash("compound_id", "gd") if least == 1 else F.pmod(F.hash("compound_id", "gd"), F.lit(4 * -(-n_tasks // least)))  # with many blocks a task should draw for few
     pieces = units.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("_s", salt).repartition(n_tasks, "k", "i", "_s").sortWithinPartitions("k", "i")
@@ -207,21 +236,15 @@ def bootstrap(aligned: DataFrame, protocol: str, n_boot: int = 200, seed: int =
         held, table = None, {}
         for batch in batches:
             gd, ks, blocks_ = (batch.column(c).to_numpy() for c in (0, 2, 3))
-            lists = batch.column(1)
-            cell, gc, *y = lists.flatten().flatten()
-            cell = cell.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            gc = gc.to_numpy()
-            cell = np.where(cell < 0, -1, cell.astype(np.int64) * sizes.get("gc", 1) + gc)  # a cell counts once in each group that is drawn
-            there = [v.is_valid().to_numpy(zero_copy_only=False) for v in y]
-            y = [v.fill_null(0.0).to_numpy() for v in y]
-            at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            at, cell, y, there, (gc,) = members(batch.column(1))
+            cell = np.where(cell < 0, -1, cell * sizes["gc"] + gc)  # a cell counts once in each group that is drawn
             u = 0
             while u < len(gd):
                 first, last = n_boot * blocks_[u] // ks[u], n_boot * (blocks_[u] + 1) // ks[u]
                 if held != (first, last):
                     table = {}
                     table, held = dict(zip(kinds, multiplicities(seed, first, last, list(sizes.values())))), (first, last)
-                wide = last - first if "gc" in table else 1
+                wide = last - first
                 end = u + 1
                 while end < len(gd) and ks[end] == ks[u] and blocks_[end] == blocks_[u] and (at[end + 1] - at[u]) * wide <= CELLS:
                     end += 1
@@ -229,9 +252,9 @@ def bootstrap(aligned: DataFrame, protocol: str, n_boot: int = 200, seed: int =
                 unit = np.repeat(np.arange(end - u), np.diff(at[u : end + 1]))
                 step = max(1, CELLS // len(unit))
                 for lo in range(0, wide, step):
-                    w = table["gc"][gc[part], lo : lo + step].astype(np.float64) if "gc" in table else np.ones((len(unit), 1))
+                    w = table["gc"][gc[part], lo : lo + step].astype(np.float64)
                     q, (sa, sb) = drawn_selection(unit, cell[part], [v[part] for v in y], [t[part] for t in there], w, min_cells)
-                    d = slice(first + lo, min(last, first + lo + step)) if "gc" in table else slice(first, last)
+                    d = slice(first + lo, min(last, first + lo + step))
                     times = table["gd"][gd[u:end], d.start - first : d.stop - first] if "gd" in table else 1
                     for x, v in zip(total, (sa, sb, q)):
                         x[d] += (v * times).sum(0)
@@ -239,7 +262,35 @@ def bootstrap(aligned: DataFrame, protocol: str, n_boot: int = 200, seed: int =
         some = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x[some]) for x in total]], ["b", "a", "o", "n"])
 
-    got = pieces.select("gd", "r", "k", "i").mapInArrow(run, "b int, a double, o double, n double")
+    return pieces.select("gd", "r", "k", "i").mapInArrow(run, "b int, a double, o double, n double")
+
+
+def bootstrap(aligned: DataFrame, protocol: str, n_boot: int = 200, seed: int = 42, min_cells: int = 10) -> DataFrame:
+    """(protocol, n_valid, difference_mean, ci_low, ci_high) of the paired cluster bootstrap.
+
+    ``lco`` draws cell groups, ``ldo_so`` chemical groups, ``db`` both. No row is repeated: a draw is a weight per group, every compound (of a chemical group, where
+    these are drawn) is scored under the weights of the drawn cells in arrays (once, where only chemical groups are drawn), and counts as often as its chemical group
+    is drawn. Groups are numbered in their order; tasks draw for themselves and return sums per draw. Replicates without a qualified compound are left out.
+    """
+    cols = {"lco": ["cell_group"], "ldo_so": ["chemical_group"], "db": ["cell_group", "chemical_group"]}
+    if protocol not in cols:
+        raise ValueError(f"unsupported bootstrap protocol {protocol}")
+    present = F.lit(True)
+    for c in cols[protocol]:
+        present = present & F.col(c).isNotNull()
+    source = settle(aligned.filter(present).select("compound_id", "cell_id", *[F.col(y).cast("double").alias(y) for y in ("y_true", "y_a", "y_b")], *cols[protocol]))
+    numbered, sizes = {}, {}
+    for c, short in (("cell_group", "gc"), ("chemical_group", "gd")):
+        if c in cols[protocol]:
+            numbered[c] = settle(dense_order(source.select(c).distinct(), c, "_n")).select(c, (F.col("_n") - 1).cast("int").alias(short))
+            sizes[short] = numbered[c].count()
+    if protocol == "ldo_so":
+        got = _drawn_scores(source, "chemical_group", numbered["chemical_group"], sizes["gd"], n_boot, seed, min_cells)
+    else:
+        rows = source if "gd" in sizes else source.withColumn("gd", F.lit(0))
+        for c, n in numbered.items():
+            rows = rows.join(n, c)
+        got = _drawn_rows(rows, sizes, n_boot, seed, min_cells)
     g = got.groupBy("b").agg(((F.sum("a") - F.sum("o")) / F.sum("n")).alias("effect"))
     ci = F.percentile("effect", F.array(F.lit(0.025), F.lit(0.975)))
     return settle(g).agg(F.lit(protocol).alias("protocol"), F.count(F.lit(1)).alias("n_valid"), F.avg("effect").alias("difference_mean"), ci[0].alias("ci_low"), ci[1].alias("ci_high"))

@@ -100,6 +100,32 @@ def test_bootstrap_counts_a_cell_in_each_of_its_drawn_groups(spark, protocol):
     assert tuple(r)[1:] == pytest.approx((40, 2.0, 2.0, 2.0))  # a draw of one group twice has all four cells, too
 
 
+def test_bootstrap_over_compounds_scores_rows_once_and_makes_each_draw_once(spark, monkeypatch):
+    rows, drawn, score, rng = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), M.drawn_selection, M.np.random.default_rng
+    data = [(f"d{i:02d}", f"c{j}", float(j), float(j), float(-j if i % 3 else j), f"h{i:02d}") for i in range(30) for j in range(4)]
+    a = spark.createDataFrame(data, "compound_id string, cell_id string, y_true double, y_a double, y_b double, chemical_group string")
+    effects = [(2.0 * (rng([42, b]).integers(0, 30, 30) % 3 > 0)).mean() for b in range(20)]
+
+    def counted(unit, *x):
+        rows.add(len(unit))
+        return score(unit, *x)
+
+    class Numpy:
+        def __getattr__(self, name):
+            return self if name == "random" else getattr(np, name)
+
+        def default_rng(self, key):
+            drawn.add(1)
+            return rng(key)
+
+    monkeypatch.setattr(M, "drawn_selection", counted)
+    monkeypatch.setattr(M, "np", Numpy())
+    monkeypatch.setattr(M, "DRAWN", 150)  # so that the draws are made in blocks
+    r = M.bootstrap(a, "ldo_so", n_boot=20, min_cells=4).first()
+    assert tuple(r)[1:] == pytest.approx((20, np.mean(effects), *np.percentile(effects, [2.5, 97.5])))
+    assert (rows.value, drawn.value) == (len(data), 20)
+
+
 def groups(spark, n=60):
     r = [(f"s{i:03d}", f"c{i // 3:02d}", f"g{i // 6:02d}", "AB"[(i // 6) % 2], f"d{i % 4}", float(i % 7)) for i in range(n)]
     return spark.createDataFrame(r, "sample_id string, cell_id string, g string, t string, compound_id string, y double")
